@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _TINY = 1e-300
 
@@ -75,17 +76,17 @@ def _apply(fn, *series: pd.Series) -> pd.Series:
     return pd.Series(list(values), dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     return _apply(lambda v, k: _beta_tail(k / 2.0, 0.5, k / (k + v * v)), t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _chi2_upper(x: pd.Series, df: pd.Series) -> pd.Series:
     return _apply(lambda v, k: _gamma_tail(k / 2.0, v / 2.0), x, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _normal_upper(z: pd.Series) -> pd.Series:
     return _apply(lambda v: 0.5 * math.erfc(v / math.sqrt(2.0)), z)
 
@@ -107,7 +108,7 @@ def signed_rank_counts(n: Column) -> Column:
 
     Entry w (0-based) is the number of sign patterns with positive-rank sum w.
     """
-    start = F.transform(F.sequence(F.lit(0), n * (n + 1) / 2), lambda w: F.when(w == 0, 1.0).otherwise(0.0))
+    start = F.transform(F.sequence(F.lit(0), (n * (n + 1) / 2).cast("int")), lambda w: F.when(w == 0, 1.0).otherwise(0.0))
 
     def fold(acc: Column, r: Column) -> Column:
         return F.transform(

@@ -128,3 +128,21 @@ def modes(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> Data
     return counts.groupBy(*by).agg(
         *[F.expr(f"max_by(if(name = '{c}', v, null), if(name = '{c}', struct(cnt, -v), null)) as `m_{c}`") for c in columns]
     )
+
+
+def running_extreme(df: DataFrame, by: Sequence[str], value: str, expr: str, kind: str, out: str) -> DataFrame:
+    """Over rows distinct in (by, value): `kind`='max' gives the maximum of `expr` up to the
+    value, `kind`='min' the minimum from the value on. Two levels, like the ranks."""
+    by = list(by)
+    direction = F.col("_bucket") if kind == "max" else F.col("_bucket").desc()
+    inner = F.col(value) if kind == "max" else F.col(value).desc()
+    extreme = F.max if kind == "max" else F.min
+    bucketed = df.withColumn("_bucket", range_bucket(F.col(value)))
+    tops = bucketed.groupBy(*by, "_bucket").agg(extreme(expr).alias("_top"))
+    earlier = Window.partitionBy(*by).orderBy(direction).rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(*by, "_bucket", extreme("_top").over(earlier).alias("_outside"))
+    inside = Window.partitionBy(*by, "_bucket").orderBy(inner).rowsBetween(Window.unboundedPreceding, 0)
+    pick = F.greatest if kind == "max" else F.least
+    return bucketed.join(tops, [*by, "_bucket"]).select(
+        *df.columns, pick(extreme(expr).over(inside), "_outside").alias(out)
+    )
