@@ -32,3 +32,13 @@ def round_sql(body: str, doubles: str, rest: str, digits: int = 8) -> str:
     """SELECT of `rest` columns as they are and `doubles` rounded, from a body."""
     cols = [c.strip() for c in doubles.split(",") if c.strip()]
     return "SELECT " + ", ".join([c.strip() for c in rest.split(",") if c.strip()] + [f"round({c}, {digits}) + 0.0 AS {c}" for c in cols]) + " FROM " + body
+
+
+def rounded_where(df: DataFrame, flag: str, digits: int = 4, otherwise: int = 6) -> DataFrame:
+    """Computed rows (flag) and stored rows (not flag) rounded to different digits."""
+    return df.select(
+        *[
+            (F.when(F.expr(flag), F.round(c, digits)).otherwise(F.round(c, otherwise)) + F.lit(0.0)).alias(c) if t == "double" else F.col(c)
+            for c, t in df.dtypes
+        ]
+    )
