@@ -16,7 +16,7 @@ from tidyorder.functions.ordering import quantiles
 from tidyorder.operators.impute import apply_scaling, fill, fit_robust
 from tidyorder.operators.neighbors import nearest
 from tidyorder.operators.sampling import mark_exact_k
-from tidyorder.session import materialize
+from tidyorder.session import materialize, parallel_tasks, spread
 from tidyorder.sources.loaders import feature_columns
 
 TREES = 100
@@ -96,7 +96,8 @@ def isolation_scores(scaled: DataFrame, seed: int, trees: int = TREES, tree_rows
         frame = pd.DataFrame(nodes, columns=["feature", "cut", "left", "right", "path"])
         return frame.assign(tree=key[0], node=np.arange(len(frame)), rows=len(rows))
 
-    forest = sample.select("tree", "row_id", *features).groupBy("tree").applyInPandas(
+    by_tree = sample.select("tree", "row_id", *features).repartition(parallel_tasks(scaled.sparkSession), "tree")
+    forest = by_tree.groupBy("tree").applyInPandas(
         grow, "feature int, cut double, left int, right int, path double, tree int, node int, rows int"
     ).toPandas().sort_values(["tree", "node"])
     grown = [
@@ -122,7 +123,7 @@ def isolation_scores(scaled: DataFrame, seed: int, trees: int = TREES, tree_rows
                 {"row_id": batch["row_id"], "score": np.exp2(-total / len(grown) / expected)}
             )
 
-    return scaled.mapInPandas(score, "row_id bigint, score double")
+    return spread(scaled).mapInPandas(score, "row_id bigint, score double")
 
 
 def flag_extreme(scores: DataFrame, share: float = CONTAMINATION) -> DataFrame:

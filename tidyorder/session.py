@@ -49,3 +49,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared checkpoint folder for an intermediate file set."""
     _ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def parallel_tasks(spark: SparkSession) -> int:
+    """Task count for compute-heavy stages whose bytes are small: adaptive coalescing by
+    size would run them in a handful of tasks."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame, key: str = "row_id") -> DataFrame:
+    """Enough partitions for a compute-heavy pass over a materialised table; a table that
+    already has them is not shuffled."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, key)
