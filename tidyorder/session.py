@@ -3,15 +3,33 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Make this package importable in the Python workers of a session, once."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parent
+        archive = shutil.make_archive(
+            f"{tempfile.mkdtemp(prefix='run-package-')}/{package.name}", "zip", package.parent, package.name
+        )
+        context.addPyFile(archive)  # Spark hands it to every executor
+        _shipped.add(context.applicationId)
+    return spark
+
+
 def local_session(cores: int | str = 8, partitions: int = 8) -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own session."""
-    return (
+    return ship_package(
         SparkSession.builder.master(f"local[{cores}]")
         .appName("tidyorder")
         .config("spark.driver.memory", os.environ.get("TIDYORDER_DRIVER_MEMORY", "12g"))
