@@ -209,14 +209,16 @@ def _c14_model(spark, d):
 
 @query("c15_edited_neighbors", with_(
     DF, _standard("doc_features", "sc", DOC, "row_id, label"), _neighbors_sql("sc", DOC, 3, extra=", q.label AS ql, e.label AS el"),
-    "SELECT row_id, label FROM doc_features WHERE row_id NOT IN (SELECT qid FROM nn GROUP BY 1 HAVING sum(CASE WHEN ql <> el THEN 1 ELSE 0 END) >= 2)"))
+    "noisy AS (SELECT qid FROM nn GROUP BY 1 HAVING sum(CASE WHEN ql <> el THEN 1 ELSE 0 END) >= 2)",
+    "SELECT row_id, label FROM doc_features WHERE row_id NOT IN (SELECT qid FROM noisy) OR (SELECT count(DISTINCT label) FROM doc_features WHERE row_id NOT IN (SELECT qid FROM noisy)) < 2"))
 def _c15(spark, d):
     return labels.edit_neighbors(materialize(t.doc_features(spark, d))).select("row_id", "label")
 
 
 @query("c15_edited_neighbors_vectors", with_(
     VF, _standard("vec_features", "sc", sp.VECS, "row_id, label"), _neighbors_sql("sc", sp.VECS, 3, extra=", q.label AS ql, e.label AS el"),
-    "SELECT row_id, label FROM vec_features WHERE row_id NOT IN (SELECT qid FROM nn GROUP BY 1 HAVING sum(CASE WHEN ql <> el THEN 1 ELSE 0 END) >= 2)"))
+    "noisy AS (SELECT qid FROM nn GROUP BY 1 HAVING sum(CASE WHEN ql <> el THEN 1 ELSE 0 END) >= 2)",
+    "SELECT row_id, label FROM vec_features WHERE row_id NOT IN (SELECT qid FROM noisy) OR (SELECT count(DISTINCT label) FROM vec_features WHERE row_id NOT IN (SELECT qid FROM noisy)) < 2"))
 def _c15_vec(spark, d):
     return labels.edit_neighbors(materialize(t.vec_features(spark, d))).select("row_id", "label")
 

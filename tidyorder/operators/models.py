@@ -55,8 +55,10 @@ def probabilities(model, assembled: DataFrame) -> DataFrame:
 def null_indicators(df: DataFrame, params: DataFrame, flagged: list[str]) -> DataFrame:
     """Fill NULLs and add 0/1 columns saying where they were: the tree learners here have
     no missing-value split."""
+    if not flagged:
+        return apply_fill(df, params)
     marks = [F.col(c).isNull().cast("double").alias(f"x_gap_{c}") for c in flagged]
-    return apply_fill(df.select("*"), params).join(df.select("row_id", *marks), "row_id")
+    return apply_fill(df, params).join(df.select("row_id", *marks), "row_id")
 
 
 def balanced_accuracy(predicted: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -105,13 +107,20 @@ def predict(train: DataFrame, test: DataFrame, classifier: str, seed: int, fit:
 
 
 def with_null_support(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Model-boundary treatment of sequences without imputation."""
+    """Model-boundary treatment of NULLs: sequences without imputation leave them in the
+    training part, and the test part is never cleaned. Fills come from the training part;
+    indicators are added for columns with training gaps."""
     num, cat = feature_columns(train)
-    gaps = train.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in num + cat]).first()
-    flagged = [c for c in num + cat if gaps[c]]
-    if not flagged:
+
+    def gaps(df: DataFrame) -> set[str]:
+        row = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in num + cat]).first()
+        return {c for c in num + cat if row[c]}
+
+    in_train, in_test = gaps(train), gaps(test)
+    if not in_train and not in_test:
         return train, test
     params = materialize(fit_fill(train))
+    flagged = [c for c in num + cat if c in in_train]
     return tuple(
         materialize(null_indicators(t.select("row_id", "label", *num, *cat), params, flagged))
         for t in (train, test)
