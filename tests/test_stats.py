@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidyorder.functions import distributions
+from tidyorder.functions.keyed import draw_hash
 from tidyorder.functions.ordering import modes, quantiles, value_ranks
 from tidyorder.operators import stats
 from tidyorder.plans import analysis
@@ -117,8 +118,26 @@ def test_groups_with_many_seeds_are_split_and_agree(spark, monkeypatch):
         assert a["osi_null"] == pytest.approx(b["osi_null"], abs=1e-12)
 
 
-def test_permutation_finds_a_planted_effect(spark):
-    assert all(r["p_osi"] < 0.05 for r in stats.permutation_test(runs(spark), draws=500).collect())
+def test_permutation_agrees_with_independent_shuffles(spark):
+    table = runs(spark)
+    draws, rng = 20_000, np.random.default_rng(0)
+    got = {r["dataset"]: r for r in stats.permutation_test(table, draws=draws).collect()}
+    for name, cells in table.toPandas().groupby("dataset"):
+        x = cells.pivot(index="cleaning_order", columns="seed", values="balanced_accuracy").to_numpy()
+        place = rng.random((draws, *x.shape)).argsort(axis=1)
+        means = np.take_along_axis(np.broadcast_to(x, place.shape), place, axis=1).mean(axis=2)
+        null = (means.max(axis=1) - means.min(axis=1)) / means.max(axis=1)
+        p = (1 + (null >= got[name]["osi"] - 1e-12).sum()) / (draws + 1)
+        assert got[name]["osi_null"] == pytest.approx(null.mean(), abs=6 * null.std() / np.sqrt(draws))
+        assert got[name]["p_osi"] == pytest.approx(p, abs=6 * np.sqrt(p * (1 - p) / draws))
+
+
+def test_shuffles_are_uniform():
+    place = np.arange(4, dtype=np.int64)
+    counter = np.arange(240_000, dtype=np.int64)[:, None] * 4 + place
+    orders = np.argsort(draw_hash(counter, 12345), axis=1, kind="stable") @ (4**place)
+    seen = np.unique(orders, return_counts=True)[1]
+    assert len(seen) == 24 and ((seen - 10_000) ** 2 / 10_000).sum() < 60
 
 
 def test_quantiles_ranks_and_modes_with_a_hot_value(spark):
