@@ -142,7 +142,7 @@ def test_shuffles_are_uniform():
 
 def test_quantiles_ranks_and_modes_with_a_hot_value(spark):
     rng = np.random.default_rng(6)
-    values = np.round(rng.normal(size=600) * 10 ** rng.integers(-3, 6, 600), 3)
+    values = np.round(rng.normal(size=600) * 10.0 ** rng.integers(-3, 6, 600), 3)
     values[::3] = 0.0
     df = spark.createDataFrame([("g", float(v), int(abs(v)) % 4) for v in values], "g string, x double, c int")
     got = quantiles(df, ["x"], [0.0, 0.05, 0.5, 0.9, 1.0]).first()["q_x"]
