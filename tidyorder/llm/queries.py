@@ -113,3 +113,15 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidyorder.llm.quality import quality_scores
 
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: Shares of tokens that the mixture asks of the domains of `labels`.
+MIXTURE = {"high": 0.95, "low": 0.05, "toxic": 0.0}
+
+
+@query("op3_soft_mixing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidyorder.llm.mixing import label_domains, mix
+
+    rows = mix(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels")), MIXTURE)
+    return rows.drop("tk")
