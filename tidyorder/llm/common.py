@@ -28,6 +28,11 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
+def text_key(text_col: str = "text") -> Column:
+    """A hash that keeps apart rows of one doc_id with different texts; null is like empty."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet to the shared checkpoint folder and read it back: cuts the
     lineage, fixes values that depend on row order, and outlives a lost executor."""
@@ -60,7 +65,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
             start, done = stop, int(ends[stop - 1])
 
 
-def keep_rows(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of `docs` whose id is in the only column of `ids`; all columns, whatever their names."""
-    wanted = ids.toDF("__kept_id")
-    return docs.join(wanted, docs[id_col].eqNullSafe(wanted["__kept_id"]), "left_semi")
+def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of `docs` whose id and text key are in `kept` (doc_id, tk); all columns as they are."""
+    wanted = kept.select(F.col("doc_id").alias("__kept_id"), F.col("tk").alias("__kept_tk"))
+    tk = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    return docs.join(wanted, docs[id_col].eqNullSafe(wanted["__kept_id"]) & (tk == wanted["__kept_tk"]), "left_semi")

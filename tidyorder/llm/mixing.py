@@ -29,7 +29,7 @@ def _described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, tk, words, n_tokens and statistics s0.. of each row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("tk"), text.alias("t"))
-    rows = rows.withColumn("words", F.array_remove(F.split(F.lower("t"), r"[ \t\n\x0B\f\r]+"), ""))
+    rows = rows.withColumn("words", F.array_remove(F.split(F.lower("t"), r"[^a-z0-9\u0080-\uffff]+"), ""))
     rows = rows.withColumn("n_tokens", F.size("words").cast("long"))
     n = F.greatest(F.col("n_tokens"), F.lit(1)).cast("double")
     stats = [

@@ -17,9 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType, LongType, StructField, StructType
 
-from tidyorder.llm.common import slices, stash
+from tidyorder.llm.common import slices, stash, text_key
 
 SAMPLE = 20_000
 BINS = 64
@@ -58,15 +58,15 @@ def statistics(text: bytes) -> list[float]:
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, x: the statistics of every row; null text counts as empty."""
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    """doc_id, tk, x: the statistics of every row; null text counts as empty."""
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), text_key(text_col).alias("tk"))
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             rows = [np.asarray(statistics(t or b""), np.float32) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float32()))], ["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.float32()))], ["doc_id", "tk", "x"])
 
-    return texts.mapInArrow(stream, StructType([texts.schema["doc_id"], StructField("x", ArrayType(FloatType()))]))
+    return texts.mapInArrow(stream, StructType([texts.schema["doc_id"], StructField("tk", LongType()), StructField("x", ArrayType(FloatType()))]))
 
 
 @dataclass
@@ -145,7 +145,7 @@ def fold(id_col: str, folds: int) -> Column:
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality", threshold: float = 0.7, folds: int = 4, held: int = 2, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, held_out, score, predicted.
+    """One row per input row: doc_id, tk, held_out, score, predicted.
 
     Labels of held-out ids are not used. Null and empty texts get the score of an empty text;
     repeated rows get equal scores; without usable labels all scores are equal. An empty table
@@ -157,9 +157,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(model.value.score(x))], ["doc_id", "held_out", "score"])
+                x = batch.column(2).flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(model.value.score(x))], ["doc_id", "tk", "held_out", "score"])
 
-    out = StructType([rows.schema["doc_id"], StructField("held_out", BooleanType()), StructField("score", DoubleType())])
-    scored = rows.select("doc_id", "x", (fold("doc_id", folds) == held).alias("held_out")).mapInArrow(stream, out)
+    out = StructType([rows.schema["doc_id"], rows.schema["tk"], StructField("held_out", BooleanType()), StructField("score", DoubleType())])
+    scored = rows.select("doc_id", "tk", "x", (fold("doc_id", folds) == held).alias("held_out")).mapInArrow(stream, out)
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -112,7 +112,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidyorder.llm.quality import quality_scores
 
-    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("tk")
 
 
 #: Shares of tokens that the mixture asks of the domains of `labels`.

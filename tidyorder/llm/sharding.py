@@ -59,7 +59,7 @@ def _key(d: int) -> Column:
 
 
 def assign_shards(docs: DataFrame, n_shards: int | None = 8, target_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, size, text_crc32, shard, slot.
+    """One row per input row: doc_id, tk, size, text_crc32, shard, slot.
 
     Give `n_shards`, or `target_bytes` for as many leaves as that needs. Size is the UTF-8
     bytes of the text plus 1; null text has no bytes. Rows with equal texts, repeated rows
@@ -67,6 +67,21 @@ def assign_shards(docs: DataFrame, n_shards: int | None = 8, target_bytes: int |
     counts from 0 without gaps in each shard. An empty table gives none; source and lang may
     be null or missing.
     """
+    items, atoms, n_shards = _leaves(docs, n_shards, target_bytes, id_col, text_col)
+    placed = items.join(atoms.select("tk", F.col("base").alias("shard")), "tk").select("doc_id", "size", "text_crc32", "tk", "shard")
+    return with_slots(placed, n_shards)
+
+
+def with_shard(docs: DataFrame, n_shards: int | None = 8, target_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs`, all rows and columns, with the column shard (one of that name is replaced)."""
+    _, atoms, _ = _leaves(docs, n_shards, target_bytes, id_col, text_col)
+    docs = docs.drop("shard")
+    placed = atoms.select(F.col("tk").alias("__tk"), F.col("base").alias("shard"))
+    return docs.join(placed, F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == placed["__tk"]).drop("__tk")
+
+
+def _leaves(docs: DataFrame, n_shards: int | None, target_bytes: int | None, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, int]:
+    """Rows with size and text key, text keys with their leaf (base), and the number of leaves."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     sized = docs.withColumn("size", (F.octet_length(text) + 1).cast("long"))
     xs = _dims(docs)
@@ -92,8 +107,7 @@ def assign_shards(docs: DataFrame, n_shards: int | None = 8, target_bytes: int |
             F.when(F.col("k") == 1, F.lit(1)).when(left, half).otherwise(F.col("k") - half).alias("k"),
         )
         atoms = stash(moved, "shard-atoms")
-    placed = items.join(atoms.select("tk", F.col("base").alias("shard")), "tk").select("doc_id", "size", "text_crc32", "tk", "shard")
-    return with_slots(placed, n_shards)
+    return items, atoms, n_shards
 
 
 def with_slots(placed: DataFrame, n_shards: int) -> DataFrame:
@@ -106,4 +120,4 @@ def with_slots(placed: DataFrame, n_shards: int) -> DataFrame:
     before = sums.select("shard", "bucket", (F.sum("count").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("count")).alias("start"))
     inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32")
     ranked = placed.withColumn("r", F.row_number().over(inside)).join(before, ["shard", "bucket"])
-    return ranked.select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("r") - 1).alias("slot"))
+    return ranked.select("doc_id", "tk", "size", "text_crc32", "shard", (F.col("start") + F.col("r") - 1).alias("slot"))

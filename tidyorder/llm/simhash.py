@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidyorder.llm.common import null_safe_join, slices, stash, wide
+from tidyorder.llm.common import slices, stash, text_key, wide
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 #: Fingerprints of a group that are held and compared at once.
@@ -49,15 +49,15 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of every row; null and empty texts have 0."""
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    """doc_id, tk, fp (the 64 bits as a signed long) of every row; null and empty texts have 0."""
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), text_key(text_col).alias("tk"))
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             fps = np.array([fingerprint(t or b"", shingle, seed) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64))], ["doc_id", "tk", "fp"])
 
-    return texts.mapInArrow(stream, StructType([texts.schema["doc_id"], StructField("fp", LongType())]))
+    return texts.mapInArrow(stream, StructType([texts.schema["doc_id"], StructField("tk", LongType()), StructField("fp", LongType())]))
 
 
 class _Ring:
@@ -211,7 +211,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, seed: int = SEED, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, fp, component_id (smallest doc_id linked, itself included).
+    """One row per input row: doc_id, tk, fp, component_id (smallest doc_id linked, itself included).
 
     Null and empty texts have fingerprint 0 and link like others; a text with fewer words than
     a shingle is one shingle. Repeated rows give a row each and link at distance 0. Null ids
@@ -223,4 +223,4 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIST
     rooted = firsts.join(roots.withColumnsRenamed({"node": "fp"}), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(smallest, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(named, "fp").select("doc_id", "tk", "fp", "component_id")
