@@ -125,3 +125,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = mix(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels")), MIXTURE)
     return rows.drop("tk")
+
+
+@query("op8_surrogates")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidyorder.llm.surrogates import replace_private
+
+    return replace_private(table(spark, sf_dir, "documents")).drop("tk")
