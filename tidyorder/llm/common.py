@@ -41,6 +41,17 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """`df` written once as a table bucketed by `key` in the shared folder: joins on the key
+    then leave its rows, and so its texts, where they are."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "bucketed")
+    name = "bucketed_" + path.rsplit("-", 1)[-1]
+    # a row of text goes to the file of its bucket straight from the scan
+    df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(wide(spark), key).saveAsTable(name)
+    return spark.table(name)
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join in which null keys meet; the keys of `left` are returned once."""
     right = right.withColumnsRenamed({k: f"__{k}" for k in keys})

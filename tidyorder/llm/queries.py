@@ -132,3 +132,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidyorder.llm.surrogates import replace_private
 
     return replace_private(table(spark, sf_dir, "documents")).drop("tk")
+
+
+@query("op6_suffix_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidyorder.llm.suffix_dedup import repeated_spans
+
+    return repeated_spans(table(spark, sf_dir, "documents"), 200).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
