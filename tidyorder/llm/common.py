@@ -64,14 +64,14 @@ def wide(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """The batches, cut where their texts add up to SLICE_BYTES; a longer text comes alone."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches, cut where their texts add up to `limit`; a longer text comes alone."""
     for batch in batches:
         data = batch.column(batch.schema.get_field_index(column))
         ends = np.cumsum(pc.fill_null(pc.binary_length(data), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         start, done = 0, 0
         while start < batch.num_rows:
-            stop = max(start + 1, int(np.searchsorted(ends, done + SLICE_BYTES, side="right")))
+            stop = max(start + 1, int(np.searchsorted(ends, done + limit, side="right")))
             yield batch.slice(start, stop - start)
             start, done = stop, int(ends[stop - 1])
 

@@ -139,3 +139,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidyorder.llm.suffix_dedup import repeated_spans
 
     return repeated_spans(table(spark, sf_dir, "documents"), 200).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op1_context_mixing")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidyorder.llm.context_mixing import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
