@@ -87,14 +87,18 @@ class _Bayes:
         codes = [sum([(F.col(f"s{j}") > x).cast("int") for x in c], F.lit(0)) for j, c in enumerate(self.cuts)]
         return F.array(*[F.concat(F.lit(f"{j}:"), b.cast("string")) for j, b in enumerate(codes)])
 
-    def posterior(self) -> Column:
-        """Array of probabilities in the order of `domains`."""
+    def posterior(self, rows: DataFrame) -> DataFrame:
+        """Adds p, the probabilities in the order of `domains`. A column for each step, so that
+        what a lambda refers to is computed once for a row."""
         table = F.create_map(*[x for f, w in self.weights.items() for x in (F.lit(("w" if f in self.words else "b") + f), _literal(w))])
         here = F.transform(F.array_intersect("words", F.array(*[F.lit(w) for w in self.words]).cast("array<string>")), lambda x: F.concat(F.lit("w"), x))
         marks = F.concat(here, F.transform(self._bins(), lambda x: F.concat(F.lit("b"), x)))
-        raw = F.aggregate(marks, _literal(self.start), lambda a, f: F.zip_with(a, F.element_at(table, f), lambda x, y: x + y))
-        shifted = F.transform(raw, lambda x: F.exp(x - F.array_max(raw)))
-        return F.transform(shifted, lambda x: x / F.aggregate(shifted, F.lit(0.0), lambda a, b: a + b))
+        rows = rows.withColumn("marks", marks)
+        rows = rows.withColumn("raw", F.aggregate("marks", _literal(self.start), lambda a, f: F.zip_with(a, F.element_at(table, f), lambda x, y: x + y)))
+        rows = rows.withColumn("top", F.array_max("raw"))
+        rows = rows.withColumn("odds", F.transform("raw", lambda x: F.exp(x - F.col("top"))))
+        rows = rows.withColumn("all_odds", F.aggregate("odds", F.lit(0.0), lambda a, b: a + b))
+        return rows.withColumn("p", F.transform("odds", lambda x: x / F.col("all_odds")))
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, domains: list[str], sample: int = SAMPLE, lexicon: int = LEXICON, bins: int = BINS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,7 +116,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, domains: list[str], sample: i
     taken = docs.join(known.select(F.col("doc_id").alias("__id"), F.col("domain").alias("__domain")), docs[id_col] == F.col("__id"))
     marked = stash(_described(taken.select(F.struct(id_col, "__domain").alias(id_col), text_col), id_col, text_col).withColumn("domain", F.col("doc_id.__domain")).drop("doc_id"), "mixing-sample")
     model = _Bayes(marked, domains, lexicon, bins)
-    return _described(docs, id_col, text_col).select("doc_id", "tk", "n_tokens", model.posterior().alias("p"))
+    return model.posterior(_described(docs, id_col, text_col)).select("doc_id", "tk", "n_tokens", "p")
 
 
 def fit_rates(rows: DataFrame, weights: list[float], ridge: float = 1e-3, steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
