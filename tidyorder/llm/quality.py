@@ -81,11 +81,13 @@ class Trees:
     def score(self, x: np.ndarray) -> np.ndarray:
         """Probability of label 1 for each row of x."""
         trees, inner = self.feature.shape
+        if not trees:
+            return np.full(len(x), 1 / (1 + np.exp(-self.start)))
         tree, node = np.arange(trees), np.zeros((len(x), trees), np.int64)
         rows = np.arange(len(x))[:, None]
-        while inner and node[0, 0] < inner:
+        while len(x) and node[0, 0] < inner:
             node = 2 * node + 1 + (x[rows, self.feature[tree, node]] > self.threshold[tree, node])
-        raw = self.start + (self.value[tree, node - inner].sum(axis=1) if trees else 0.0)
+        raw = self.start + self.value[tree, node - inner].sum(axis=1)
         return 1 / (1 + np.exp(-raw))
 
 
@@ -135,7 +137,7 @@ def train(rows: DataFrame, labels: DataFrame, label_col: str = "quality", sample
     if n > sample:
         marked = marked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int((1 << 40) * sample / n))
     got = rows.join(marked, "doc_id").orderBy("doc_id").select("x", "y").toArrow()  # about `sample` rows at most
-    x = np.array(got.column("x").to_pylist(), np.float64).reshape(len(got), -1)
+    x = np.array(got.column("x").to_pylist(), np.float64).reshape(len(got), -1 if len(got) else 0)
     return fit(x, np.array(got.column("y").to_pylist(), np.float64), **how)
 
 
