@@ -15,9 +15,9 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidyorder.llm.common import null_safe_join, stash
+from tidyorder.llm.common import null_safe_join, stash, wide
 
-BLOCK = 1024
+BLOCK, PREFIX = 1024, 32
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str, block: int) -> DataFrame:
@@ -33,7 +33,10 @@ def _name_blocks(blocks: DataFrame) -> tuple[DataFrame, int]:
     checked to be free of collisions on exactly these blocks; another salt is taken if not."""
     distinct = blocks.groupBy("block").agg(F.lit(1).alias("one"))
     for salt in count(42):
-        ranked = distinct.orderBy("block")
+        # a global order: ranges of a short prefix, whole blocks inside; so the bounds of the
+        # ranges, which the driver draws from samples, are short
+        ranged = distinct.repartitionByRange(wide(distinct.sparkSession), F.substring("block", 1, PREFIX))
+        ranked = ranged.sortWithinPartitions("block")
         named = stash(ranked.select(F.xxhash64(F.lit(salt), "block").alias("h"), F.monotonically_increasing_id().alias("name")), "block-names")
         if named.groupBy("h").count().filter("count > 1").isEmpty():
             return named, salt
