@@ -94,29 +94,34 @@ def test_a_code_and_its_probabilities_add_up():
     words = np.stack([np.arange(code.leaves), np.full(code.leaves, code.number[cm.END])], axis=1).ravel()
     d = cm._Decisions(code, words, np.arange(2, 2 * code.leaves + 2, 2))
     tables = [rng.integers(-60, 60, 1 << cm.CELL_BITS).astype(np.int8) for _ in range(3)]
-    x = cm.word_inputs(d, tables)
-    first = d.start
+    x, bit, gate = d.inputs(tables)
     total = 0.0
     for k in range(code.leaves):
-        bits, _, _ = cm._run(x, d.bit, d.gate, first[k : k + 1], code.sizes[words[2 * k]].reshape(1), cm.word_start(), 0.02)
+        stops = np.array([0, code.sizes[words[2 * k]]])
+        at = slice(int(d.stop[2 * k]), int(d.stop[2 * k + 1]))
+        bits, _ = cm._run(x[at], bit[at], gate[at], stops, np.zeros(1, int), cm.word_start(), 0.02)
         total += 2.0 ** -bits[0]
-    assert total == pytest.approx(1, abs=1e-3)
+    assert total == pytest.approx(1, abs=1e-4)
 
 
 def test_mixer_against_one_decision_at_a_time():
     rng = np.random.default_rng(2)
     n, rate = 300, 0.02
     x, bit, gate = rng.integers(-100, 100, (n, 3)).astype(np.int8), rng.integers(0, 2, n).astype(np.int8), rng.integers(0, 4, n).astype(np.int8)
-    start, size = np.array([0, 100, 110]), np.array([100, 10, 190])
-    got, _, _ = cm._run(x, bit, gate, start, size, np.full((4, 4), 0.3, np.float32), rate)
-    for block, (a, s) in enumerate(zip(start, size)):
-        w, bits = np.full((4, 4), 0.3), 0.0
-        for t in range(a, a + s):
-            inputs = np.append(x[t] / cm.SCALE, 1.0)
-            p = 1 / (1 + math.exp(-w[gate[t]] @ inputs))
-            bits -= math.log2(p if bit[t] else 1 - p)
-            w[gate[t]] += rate * (bit[t] - p) * inputs
-        assert got[block] == pytest.approx(bits, rel=1e-3)
+    stops, owner = np.array([0, 40, 100, 110, 200, 290, 300]), np.array([0, 0, 1, 2, 2, 2])
+    got, _ = cm._run(x, bit, gate, stops, owner, np.full((4, 4), 0.3, np.float32), rate)
+    want = np.zeros(3)
+    for block in range(3):
+        w = np.full((4, 4), 0.3)
+        for g in np.flatnonzero(owner == block):
+            move = np.zeros_like(w)
+            for t in range(stops[g], stops[g + 1]):
+                inputs = np.append(x[t] / cm.SCALE, 1.0)
+                p = 1 / (1 + math.exp(-w[gate[t]] @ inputs))
+                want[block] -= math.log2(p if bit[t] else 1 - p)
+                move[gate[t]] += rate * (bit[t] - p) * inputs
+            w += move
+    assert got == pytest.approx(want, rel=1e-3)
 
 
 def test_scoring_edge_cases(spark):
