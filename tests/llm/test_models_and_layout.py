@@ -109,14 +109,14 @@ def test_mixer_against_one_decision_at_a_time():
     n, rate = 300, 0.02
     x, bit, gate = rng.integers(-100, 100, (n, 3)).astype(np.int8), rng.integers(0, 2, n).astype(np.int8), rng.integers(0, 4, n).astype(np.int8)
     stops, owner = np.array([0, 40, 100, 110, 200, 290, 300]), np.array([0, 0, 1, 2, 2, 2])
-    got, _ = cm._run(x, bit, gate, stops, owner, np.full((4, 4), 0.3, np.float32), rate)
+    got, _ = cm._run(x, bit, gate, stops, owner, np.full((4, 3), 0.3, np.float32), rate)
     want = np.zeros(3)
     for block in range(3):
-        w = np.full((4, 4), 0.3)
+        w = np.full((4, 3), 0.3)
         for g in np.flatnonzero(owner == block):
             move = np.zeros_like(w)
             for t in range(stops[g], stops[g + 1]):
-                inputs = np.append(x[t] / cm.SCALE, 1.0)
+                inputs = x[t] / cm.SCALE
                 p = 1 / (1 + math.exp(-w[gate[t]] @ inputs))
                 want[block] -= math.log2(p if bit[t] else 1 - p)
                 move[gate[t]] += rate * (bit[t] - p) * inputs
