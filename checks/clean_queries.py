@@ -160,13 +160,13 @@ def _oof_input(spark, d) -> DataFrame:
 @query("c10_out_of_fold_correction")
 def _c10(spark, d):
     noisy = _oof_input(spark, d)
-    new = materialize(labels.correct_labels(noisy, SEED, trees=20))
+    new = materialize(labels.correct_labels(noisy, SEED))
     return diagnostics.relabel_stats(noisy, new, 1)
 
 
 @query("c11_out_of_fold_probabilities")
 def _c11(spark, d):
-    return rounded(labels.out_of_fold(_oof_input(spark, d), SEED, trees=20, depth=6).select("row_id", "label", "p0", "p1"), 6)
+    return rounded(labels.out_of_fold(_oof_input(spark, d), SEED).select("row_id", "label", "p0", "p1"), 6)
 
 
 # a probability for every row that both engines derive from the table
@@ -190,8 +190,8 @@ def _c12(spark, d):
 
 @query("c13_correction_with_oversampling_in_folds")
 def _c13(spark, d):
-    noisy = _oof_input(spark, d).drop(*CAT)
-    new = labels.correct_labels(noisy, SEED, "fold_smote", trees=20, depth=6)
+    noisy = _oof_input(spark, d)
+    new = labels.correct_labels(noisy, SEED, "fold_smote")
     return diagnostics.relabel_stats(noisy, materialize(new), 1)
 
 
@@ -204,7 +204,7 @@ def _c14(spark, d):
 @query("c14_correction_with_class_weights")
 def _c14_model(spark, d):
     noisy = _oof_input(spark, d)
-    return diagnostics.relabel_stats(noisy, materialize(labels.correct_labels(noisy, SEED, "weighted", trees=20, depth=6)), 1)
+    return diagnostics.relabel_stats(noisy, materialize(labels.correct_labels(noisy, SEED, "weighted")), 1)
 
 
 @query("c15_edited_neighbors", with_(
@@ -340,7 +340,7 @@ def _m02(spark, d):
 
 @query("m03_boosted_trees")
 def _m03(spark, d):
-    return _fit_row(spark, d, "xgboost", models.Fit(rounds=5, depth=5))
+    return _fit_row(spark, d, "xgboost", models.Fit())
 
 
 @query("m04_failed_fit_becomes_a_row")
@@ -449,7 +449,7 @@ def _a26(spark, d):
 @query("a21_relabel_comparison")
 def _a21(spark, d):
     noisy = materialize(faults.inject(materialize(t.doc_features(spark, d)), SEED))
-    return rounded(diagnostics.relabel_comparison(noisy, 1, SEED, trees=20, depth=6), 6)
+    return rounded(diagnostics.relabel_comparison(noisy, 1, SEED), 6)
 
 
 @query("a26_threshold_scores")
@@ -461,3 +461,83 @@ def _a26_scores(spark, d):
         thresholds=(0.6, 0.9), classifiers=["logistic_regression"], fit=SMALL_FIT)
     return spark.createDataFrame([tuple(s[k] for k in ("threshold", "classifier", "bal_first", "lnr_first")) for s in scores],
                                  "threshold double, classifier string, bal_first double, lnr_first double")
+
+
+# ------------------------------------------------------------- invariants of fitted models
+# A fit has no SQL twin, but what must hold whatever the trees look like has.
+@query("c08_flagged_rows", with_(DF, "SELECT count(*) AS n_rows, count(*) AS n_scores_in_range, true AS flagged_at_most_a_twentieth, true AS kept_and_flagged_add_up FROM doc_features"))
+def _c08_flagged(spark, d):
+    base = materialize(t.doc_features(spark, d))
+    flagged = materialize(outliers.flag_extreme(materialize(outliers.isolation_scores(materialize(outliers.scoring_features(base)), SEED))))
+    kept = outliers.drop_flagged(base, flagged).agg(F.count("*").alias("kept"))
+    return flagged.agg(F.count("*").alias("n_rows"), F.count_if(F.col("score").between(0, 1)).alias("n_scores_in_range"), F.count_if("outlier").alias("flagged")).crossJoin(kept).select(
+        "n_rows", "n_scores_in_range", (F.col("flagged") <= F.ceil(F.col("n_rows") * 0.05)).alias("flagged_at_most_a_twentieth"),
+        (F.col("kept") + F.col("flagged") == F.col("n_rows")).alias("kept_and_flagged_add_up"))
+
+
+def _rule_kept(spark, d, mode: str) -> DataFrame:
+    """The corrected table against the relabelling rule on the probabilities behind it."""
+    noisy = _oof_input(spark, d)
+    probs = labels.out_of_fold(noisy, SEED, mode)
+    again = labels.correct_labels(noisy, SEED, mode).select("row_id", F.col("label").alias("corrected"))
+    rule = F.expr("CASE WHEN (CASE WHEN p1 > p0 THEN 1 ELSE 0 END) <> label AND greatest(p0, p1) >= 0.7 THEN 1 - label ELSE label END")
+    return probs.join(again, "row_id").agg(
+        F.count("*").alias("n_rows"), F.count_if(F.abs(F.col("p0") + F.col("p1") - 1) < 1e-9).alias("n_sums_of_one"),
+        F.count_if(F.col("corrected") == rule).alias("n_by_rule"))
+
+
+_RULE_SQL = with_(OF, "SELECT count(*) AS n_rows, count(*) AS n_sums_of_one, count(*) AS n_by_rule FROM order_features")
+
+
+@query("c10_correction_follows_rule", _RULE_SQL)
+def _c10_rule(spark, d):
+    return _rule_kept(spark, d, "plain")
+
+
+@query("c13_correction_follows_rule", _RULE_SQL)
+def _c13_rule(spark, d):
+    return _rule_kept(spark, d, "fold_smote")
+
+
+@query("c14_correction_follows_rule", _RULE_SQL)
+def _c14_rule(spark, d):
+    return _rule_kept(spark, d, "weighted")
+
+
+_FIT_SQL = with_(OF, "n AS (SELECT count(*) AS n, CAST(ceil(0.2 * count(*)) AS BIGINT) AS k FROM order_features)",
+                 "SELECT '{c}' AS classifier, n - k AS n_train, k AS n_test, false AS failed, true AS scored, CAST(NULL AS VARCHAR) AS error FROM n")
+
+
+def _fit_facts(spark, d, classifier: str) -> DataFrame:
+    return _fit_row(spark, d, classifier, models.Fit()).select(
+        "classifier", "n_train", "n_test", "failed", F.coalesce(F.col("balanced_accuracy").between(0, 1), F.lit(False)).alias("scored"), "error")
+
+
+@query("m01_forest_facts", _FIT_SQL.replace("{c}", "random_forest"))
+def _m01_facts(spark, d):
+    return _fit_facts(spark, d, "random_forest")
+
+
+@query("m02_regression_facts", _FIT_SQL.replace("{c}", "logistic_regression"))
+def _m02_facts(spark, d):
+    return _fit_facts(spark, d, "logistic_regression")
+
+
+@query("m03_boosting_facts", _FIT_SQL.replace("{c}", "xgboost"))
+def _m03_facts(spark, d):
+    return _fit_facts(spark, d, "xgboost")
+
+
+@query("m04_failed_fit_facts", _FIT_SQL.replace("{c}", "no_such_model").replace("false AS failed, true AS scored, CAST(NULL AS VARCHAR) AS error", "true AS failed, false AS scored, 'unknown model ''no_such_model''; valid: (''random_forest'', ''logistic_regression'', ''xgboost'')' AS error"))
+def _m04_facts(spark, d):
+    return _fit_facts(spark, d, "no_such_model")
+
+
+@query("f06_missing_mcar_counts", with_(DF, "SELECT CAST(16 AS BIGINT) AS n_columns, count(*) AS n_rows, CAST(floor(0.1 * count(*)) AS BIGINT) AS least_gone, CAST(floor(0.1 * count(*)) AS BIGINT) AS most_gone, 16 * CAST(floor(0.1 * count(*)) AS BIGINT) AS named FROM doc_features"))
+def _f06_wide(spark, d):
+    base = t.doc_features(spark, d)
+    wide = base.select("row_id", "label", *[(F.col("row_id") * k + 0.5).alias(f"x_{k}") for k in range(32)])
+    out = faults.drop_cells(wide, SEED, faults.Missing(mechanism="MCAR", rate=0.1))
+    affected = faults.affected_features([f"x_{k}" for k in range(32)], SEED)
+    gone = [F.count_if(F.col(c).isNull()) for c in affected]
+    return out.agg(F.lit(len(affected)).cast("bigint").alias("n_columns"), F.count("*").alias("n_rows"), F.least(*gone).alias("least_gone"), F.greatest(*gone).alias("most_gone"), F.sum(F.size("f_missing")).cast("bigint").alias("named"))

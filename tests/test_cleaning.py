@@ -170,3 +170,32 @@ def test_sources_and_registry(spark, tmp_path):
 def test_failed_fit_is_a_row(base):
     row = models.train_and_evaluate(base, base, "no_such_model", 1)
     assert row["failed"] and row["balanced_accuracy"] is None
+
+
+def test_random_gaps_in_many_columns_plan_quickly_and_exactly(spark):
+    names = [f"x_{k}" for k in range(128)]
+    wide = spark.range(40).select(F.col("id").alias("row_id"), (F.col("id") % 2).cast("int").alias("label"), *[F.rand(k).alias(n) for k, n in enumerate(names)])
+    out = faults.drop_cells(wide, 7, faults.Missing(mechanism="MCAR", rate=0.25))
+    affected = faults.affected_features(names, 7)
+    row = out.agg(*[F.count_if(F.col(n).isNull()).alias(n) for n in names], F.sum(F.size("f_missing")).alias("all")).first()
+    assert len(affected) == 64 and all(row[n] == (10 if n in affected else 0) for n in names) and row["all"] == 640
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Range (") <= 4
+
+
+def test_steps_that_are_not_in_an_order(spark):
+    row = spark.createDataFrame([("IMP→OUT", "IMP")], "o string, one string").select(
+        st.before("o", "LNR", "OUT").alias("a"), st.before("o", "IMP", "LNR").alias("b"), st.before("o", "IMP", "OUT").alias("c"), st.without("one", "IMP").alias("w")
+    ).first()
+    assert (row.a, row.b, row.c, row.w) == (None, None, True, st.EMPTY_ORDER)
+
+
+def test_close_large_values_spread_over_many_buckets(spark):
+    from tidyorder.functions.ordering import _bucketed, quantiles
+
+    times = spark.range(20_000).select((F.col("id") * 17.0 + 1_700_000_000.0).alias("v"))
+    assert _bucketed(times, "v").select("_bucket").distinct().count() > 15_000
+    assert quantiles(times, ["v"], [0.5]).first()["q_v"][0] == 1_700_000_000.0 + 17.0 * 9999.5
+    one = spark.createDataFrame([(3.0,), (3.0,), (None,)], "v double")
+    assert quantiles(one, ["v"], [0.25]).first()["q_v"][0] == 3.0
+    mixed = spark.createDataFrame([(float(v),) for v in (-1e300, -2.0, 0.0, 1e-300, 5.0)], "v double")
+    assert [r.v for r in _bucketed(mixed, "v").orderBy("_bucket", "v").collect()] == [-1e300, -2.0, 0.0, 1e-300, 5.0]

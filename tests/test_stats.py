@@ -160,3 +160,20 @@ def test_duplicate_and_missing_cells_are_errors(spark):
         analysis.seed_matrix(table.unionByName(table.limit(1)), range(6))
     with pytest.raises(ValueError, match="missing"):
         analysis.seed_matrix(table.where("not (seed = 1 and cleaning_order = 'A' and dataset = 'd1')"), range(6))
+
+
+def test_interval_of_a_large_sample_follows_alpha(spark):
+    values = [((k * 7919) % 1000) / 10 - 40 for k in range(400)]
+    df = spark.createDataFrame([("g", float(v)) for v in values], "g string, v double")
+    wide, narrow, normal = (stats.hodges_lehmann(df, ["g"], "v", **how).first() for how in ({"alpha": 0.01}, {"alpha": 0.5}, {"alpha": 0.01, "method": "normal"}))
+    assert wide.ci_lo < narrow.ci_lo < narrow.hl < narrow.ci_hi < wide.ci_hi
+    assert abs(wide.ci_lo - normal.ci_lo) < 0.5 and wide.hl == normal.hl
+
+
+def test_tails_of_large_groups_converge():
+    import pytest
+
+    from tidyorder.functions import distributions as d
+
+    assert d._beta_tail(5e6, 5e6, 0.5) == pytest.approx(0.5, abs=1e-6)
+    assert d._gamma_tail(4e6, 4e6) == pytest.approx(0.5, abs=1e-3)

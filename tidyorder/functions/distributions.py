@@ -17,6 +17,11 @@ from pyspark.sql.types import DoubleType
 _TINY = 1e-300
 
 
+def _terms(size: float) -> range:
+    """Term numbers of a continued fraction, which needs about sqrt(size) of them."""
+    return range(1, 1000 + int(100 * math.sqrt(size)))
+
+
 def _beta_tail(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta by Lentz's continued fraction."""
     if x <= 0.0:
@@ -30,7 +35,7 @@ def _beta_tail(a: float, b: float, x: float) -> float:
     )
     c, d = 1.0, 1.0 / max(1.0 - (a + b) * x / (a + 1.0), _TINY)
     total = d
-    for m in range(1, 500):
+    for m in _terms(max(a, b)):
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
         for term in (even, odd):
@@ -38,8 +43,8 @@ def _beta_tail(a: float, b: float, x: float) -> float:
             c = 1.0 + term / c or _TINY
             total *= d * c
         if abs(d * c - 1.0) < 1e-15:
-            break
-    return front * total / a
+            return front * total / a
+    raise ArithmeticError(f"incomplete beta did not converge for a={a}, b={b}, x={x}")
 
 
 def _gamma_tail(s: float, x: float) -> float:
@@ -58,15 +63,15 @@ def _gamma_tail(s: float, x: float) -> float:
     b = x + 1.0 - s
     c, d = 1.0 / _TINY, 1.0 / b
     value = d
-    for i in range(1, 1000):
+    for i in _terms(s):
         a = -i * (i - s)
         b += 2.0
         d = 1.0 / (a * d + b or _TINY)
         c = b + a / c or _TINY
         value *= d * c
         if abs(d * c - 1.0) < 1e-15:
-            break
-    return scale * value
+            return scale * value
+    raise ArithmeticError(f"incomplete gamma did not converge for s={s}, x={x}")
 
 
 def _apply(fn, *series: pd.Series) -> pd.Series:

@@ -3,6 +3,8 @@
 No group is sorted in one task. Values are first pre-aggregated into (value, count)
 rows, so a value shared by a third of the table is one row; distinct values are then
 spread over many narrow range buckets, and only bucket totals are scanned per group.
+Buckets divide the range that the values take, from the smallest to the largest, so a
+column of large, close values (such as times in epoch seconds) is spread as well.
 """
 
 from __future__ import annotations
@@ -13,14 +15,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_BUCKETS_PER_E_FOLD = 1024
-_SHIFT = 1_000_000
+# Range buckets of a column: also the most rows in a scan of bucket totals.
+_BUCKETS = 1 << 20
+# The logarithm of any positive double is greater than minus this.
+_SHIFT = 800.0
 
 
-def range_bucket(value: Column) -> Column:
-    """Non-decreasing map from doubles to integers: ~0.1 % wide buckets around zero."""
-    size = F.floor(F.log(F.abs(value)) * _BUCKETS_PER_E_FOLD) + _SHIFT
-    return F.when(value == 0, F.lit(0).cast("bigint")).otherwise(F.signum(value).cast("bigint") * size)
+def _scale(value: Column) -> Column:
+    """Non-decreasing map of doubles in which steps of equal size are equal ratios."""
+    size = F.log(F.abs(value)) + _SHIFT
+    return F.when(value == 0, F.lit(0.0)).when(F.isnan(value), F.lit(2 * _SHIFT)).otherwise(
+        F.signum(value) * F.least(size, F.lit(2 * _SHIFT))
+    )
+
+
+def _bounds(value: Column) -> Column:
+    """Aggregate: the range of a column on the scale."""
+    return F.struct(F.min(_scale(value)).alias("lo"), F.max(_scale(value)).alias("hi"))
+
+
+def range_bucket(value: Column, bounds: Column) -> Column:
+    """Non-decreasing map of a column's values to at most _BUCKETS + 1 integers."""
+    width = bounds["hi"] - bounds["lo"]
+    at = (_scale(value) - bounds["lo"]) / F.when(width > 0, width).otherwise(F.lit(1.0))
+    return F.floor(at * _BUCKETS)
+
+
+def _bucketed(df: DataFrame, value: str) -> DataFrame:
+    """Adds `_bucket` by the range of the whole column, one row joined to all."""
+    bounds = df.agg(_bounds(F.col(value)).alias("_range"))
+    return df.crossJoin(F.broadcast(bounds)).withColumn("_bucket", range_bucket(F.col(value), F.col("_range"))).drop("_range")
 
 
 def cumulative_counts(
@@ -32,7 +56,7 @@ def cumulative_counts(
     totals = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(
         *[F.sum(expr).alias(name) for name, expr in weights.items()]
     )
-    totals = totals.withColumn("_bucket", range_bucket(F.col(value)))
+    totals = _bucketed(totals, value)
     per_bucket = totals.groupBy(*by, "_bucket").agg(*[F.sum(n).alias(f"_{n}") for n in weights])
     ordered = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(
@@ -69,11 +93,14 @@ def quantiles(
 ) -> DataFrame:
     """Exact linear-interpolation quantiles: one row per group, arrays `q_<column>` (NULL if empty).
 
-    Pass 1 counts rows per range bucket (combined map-side, so small). Pass 2 looks only
-    at the buckets that hold a wanted rank. Nothing is sorted as a whole.
+    A first pass finds the range of each column, one counts rows per range bucket (combined
+    map-side, so small), and one looks only at the buckets that hold a wanted rank. Nothing
+    is sorted as a whole.
     """
     by, keys = list(by), [*by, "name"]
-    keyed = _cells(df, columns, by, "double").withColumn("bucket", range_bucket(F.col("v")))
+    cells = _cells(df, columns, by, "double")
+    ranges = cells.groupBy("name").agg(_bounds(F.col("v")).alias("range"))  # one row per column
+    keyed = cells.join(F.broadcast(ranges), "name").select(*by, "name", "v", range_bucket(F.col("v"), F.col("range")).alias("bucket"))
     counts = keyed.groupBy(*keys, "bucket").agg(F.count("*").alias("cnt"))
     per_key = ", ".join(keys)
     placed = counts.selectExpr(
@@ -137,7 +164,7 @@ def running_extreme(df: DataFrame, by: Sequence[str], value: str, expr: str, kin
     direction = F.col("_bucket") if kind == "max" else F.col("_bucket").desc()
     inner = F.col(value) if kind == "max" else F.col(value).desc()
     extreme = F.max if kind == "max" else F.min
-    bucketed = df.withColumn("_bucket", range_bucket(F.col(value)))
+    bucketed = _bucketed(df, value)
     tops = bucketed.groupBy(*by, "_bucket").agg(extreme(expr).alias("_top"))
     earlier = Window.partitionBy(*by).orderBy(direction).rowsBetween(Window.unboundedPreceding, -1)
     tops = tops.select(*by, "_bucket", extreme("_top").over(earlier).alias("_outside"))

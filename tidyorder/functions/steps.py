@@ -28,7 +28,9 @@ def n_steps(order: Column | str) -> Column:
 
 
 def before(order: Column | str, first: str, second: str) -> Column:
-    return position(order, first) < position(order, second)
+    """Whether `first` comes before `second`; NULL if the order lacks either."""
+    at, other = position(order, first), position(order, second)
+    return F.when((at > 0) & (other > 0), at < other)
 
 
 def swap(order: Column | str, a: str, b: str) -> Column:
@@ -40,4 +42,6 @@ def swap(order: Column | str, a: str, b: str) -> Column:
 
 
 def without(order: Column | str, code: str) -> Column:
-    return F.array_join(F.array_remove(steps(order), code), ARROW)
+    """The order less a step; NONE if that was all."""
+    left = F.array_remove(steps(order), code)
+    return F.when(F.size(left) == 0, F.lit(EMPTY_ORDER)).otherwise(F.array_join(left, ARROW))

@@ -13,9 +13,9 @@ from hashlib import md5
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidyorder.functions.keyed import uniform
+from tidyorder.functions.keyed import hash_hex, uniform
 from tidyorder.functions.ordering import quantiles
-from tidyorder.operators.sampling import class_counts, mark_exact_k
+from tidyorder.operators.sampling import class_counts, exact_cuts, mark_exact_k, with_buckets
 from tidyorder.session import materialize
 from tidyorder.sources.loaders import feature_columns
 
@@ -102,27 +102,57 @@ def drop_cells(df: DataFrame, seed: int, missing: Missing = Missing()) -> DataFr
     """Null out cells. Features are handled one after another, so a condition column may
     itself already have lost cells; a NULL condition never exceeds the threshold."""
     num, cat = feature_columns(df)
-    features = num + cat
-    out, chosen = df, []
-    for feature in affected_features(features, seed):
-        if missing.mechanism == "MCAR":
-            k = F.floor(F.col("n") * missing.rate)
-            out = mark_exact_k(out, "row_id", seed, k, salt=[F.lit("mcar"), F.lit(feature)], out=f"_m_{feature}")
-            gone: Column = F.col(f"_m_{feature}")
-        elif missing.mechanism == "MAR":
-            condition = condition_feature(features, feature, seed)
-            # one scalar per affected feature; keeps the plan linear in the features
-            row = quantiles(out.select(condition), [condition], [1 - missing.rate]).first()
-            cut = row[0][0] if row is not None and row[0] is not None else None
-            over = F.col(condition) > F.lit(cut).cast("double")
-            out = out.withColumn(f"_m_{feature}", F.coalesce(over, F.lit(False)))
-            gone = F.col(f"_m_{feature}")
-        else:
-            raise ValueError(f"unknown mechanism: {missing.mechanism}")
-        out = out.withColumn(feature, F.when(~gone, F.col(feature)))
-        chosen.append(feature)
-    names = F.array_compact(F.array(*[F.when(F.col(f"_m_{f}"), F.lit(f)) for f in sorted(chosen)]))
-    return out.select(*df.columns, names.alias("f_missing"))
+    affected = affected_features(num + cat, seed)
+    if missing.mechanism == "MCAR":
+        out, gone = _gone_at_random(df, affected, seed, missing.rate)
+    elif missing.mechanism == "MAR":
+        out, gone = _gone_by_condition(df, num + cat, affected, seed, missing.rate)
+    else:
+        raise ValueError(f"unknown mechanism: {missing.mechanism}")
+    names = F.array_compact(F.array(*[F.when(gone[f], F.lit(f)) for f in sorted(affected)]))
+    left = [F.when(~gone[c], F.col(c)).alias(c) if c in gone else F.col(c) for c in df.columns]
+    return out.select(*left, names.alias("f_missing"))
+
+
+def _gone_at_random(df: DataFrame, affected: Sequence[str], seed: int, rate: float) -> tuple[DataFrame, dict[str, Column]]:
+    """Exactly floor(n * rate) rows of each feature. Which ones depends on row_id only, so the
+    cuts of all features come from one pass over (feature, row_id) and the plan does not grow
+    with the features: three reads of the table, one row of cuts."""
+    drawn = {f: hash_hex(seed, F.lit("mcar"), F.lit(f), "row_id") for f in affected}
+    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), h.alias("_h")) for f, h in drawn.items()]))
+    hashed = with_buckets(df.select("row_id", cells.alias("_cell")).select("row_id", "_cell.*"))
+    cuts = exact_cuts(hashed, "row_id", ["feature"], F.floor(F.col("n") * rate))
+    one_row = cuts.agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("_h_cut", "_key_cut")))).alias("_cuts"))
+    cut = {f: F.element_at("_cuts", F.lit(f)) for f in affected}
+    below = {
+        f: F.coalesce((h < cut[f]["_h_cut"]) | ((h == cut[f]["_h_cut"]) & (F.col("row_id") <= cut[f]["_key_cut"])), F.lit(False))
+        for f, h in drawn.items()
+    }
+    marked = df.crossJoin(F.broadcast(one_row)).select(*df.columns, *[below[f].alias(f"_m_{f}") for f in affected])
+    return marked, {f: F.col(f"_m_{f}") for f in affected}
+
+
+def _gone_by_condition(
+    df: DataFrame, features: Sequence[str], affected: Sequence[str], seed: int, rate: float
+) -> tuple[DataFrame, dict[str, Column]]:
+    """Cells whose condition column is in its top `rate`. Only a condition that was itself
+    handled before must wait for its cells to go, so there is one job per level of that."""
+    condition = {f: condition_feature(features, f, seed) for f in affected}
+    level: dict[str, int] = {}
+    source: dict[str, str] = {}
+    for f in affected:
+        earlier = condition[f] in level
+        level[f] = level[condition[f]] + 1 if earlier else 0
+        source[f] = f"_n_{condition[f]}" if earlier else condition[f]
+    out = df
+    for step in range(max(level.values(), default=-1) + 1):
+        now = [f for f in affected if level[f] == step]
+        columns = sorted({source[f] for f in now})
+        row = quantiles(out.select(*columns), columns, [1 - rate]).first()
+        cut = {c: row[f"q_{c}"][0] if row is not None and row[f"q_{c}"] is not None else None for c in columns}
+        out = out.withColumns({f"_m_{f}": F.coalesce(F.col(source[f]) > F.lit(cut[source[f]]).cast("double"), F.lit(False)) for f in now})
+        out = out.withColumns({f"_n_{f}": F.when(~F.col(f"_m_{f}"), F.col(f)) for f in now})
+    return out, {f: F.col(f"_m_{f}") for f in affected}
 
 
 def make_outliers(df: DataFrame, seed: int, outliers: Outliers = Outliers()) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -18,7 +19,8 @@ CLASSIFIERS = ("random_forest", "logistic_regression", "xgboost")
 TREES = 100
 DEPTH = 10
 ROUNDS = 100
-LAYOUT_PARTITIONS = 16
+ROWS_PER_TASK = 100_000
+LEAST_TASKS = 16
 
 
 def assemble(df: DataFrame, weight: str | None = None) -> DataFrame:
@@ -32,10 +34,12 @@ def assemble(df: DataFrame, weight: str | None = None) -> DataFrame:
     return built.select("row_id", "label", "features", *([weight] if weight else []))
 
 
-def fixed_layout(df: DataFrame, partitions: int = LAYOUT_PARTITIONS) -> DataFrame:
+def fixed_layout(df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Same rows in the same partitions and order on every run: tree learners sample per
-    partition. The partition count must not depend on the cluster to reproduce a fit, so
-    raise it with the data, not with the cores."""
+    partition. The partition count follows from the number of rows alone, at most
+    `rows_per_task` each on average and LEAST_TASKS at least, never from the cluster, so a
+    table gives the same fit everywhere and a task stays bounded."""
+    partitions = max(LEAST_TASKS, math.ceil(df.count() / rows_per_task))
     return df.repartition(partitions, "row_id").sortWithinPartitions("row_id")
 
 
@@ -71,11 +75,13 @@ def balanced_accuracy(predicted: DataFrame, by: list[str] | None = None) -> Data
 
 @dataclass(frozen=True)
 class Fit:
-    """Sizes of the learners; defaults are the study's fixed hyperparameters."""
+    """Sizes of the learners; defaults are the study's fixed hyperparameters. rows_per_task:
+    mean rows of a task of a fit, see `fixed_layout`."""
 
     trees: int = TREES
     depth: int = DEPTH
     rounds: int = ROUNDS
+    rows_per_task: int = ROWS_PER_TASK
 
 
 def predict(train: DataFrame, test: DataFrame, classifier: str, seed: int, fit: Fit = Fit()) -> tuple[DataFrame, bool]:
@@ -96,7 +102,7 @@ def predict(train: DataFrame, test: DataFrame, classifier: str, seed: int, fit:
         learner = GBTClassifier(maxIter=fit.rounds, maxDepth=fit.depth, stepSize=0.1, seed=seed)
     else:
         raise ValueError(f"unknown model {classifier!r}; valid: {CLASSIFIERS}")
-    model = learner.fit(fixed_layout(assemble(train)))
+    model = learner.fit(fixed_layout(assemble(train), fit.rows_per_task))
     converged = True
     if classifier == "logistic_regression":
         converged = model.summary.totalIterations < learner.getMaxIter()
@@ -139,7 +145,7 @@ def train_and_evaluate(
         return {**counts, "balanced_accuracy": score, "converged": converged, "failed": False, "error": None}
     except Exception as problem:  # noqa: BLE001 - any learner failure becomes a row
         return {
-            **counts, "balanced_accuracy": None, "converged": None, "failed": True, "error": str(problem)[:500],
+            **counts, "balanced_accuracy": None, "converged": None, "failed": True, "error": str(problem),
         }
 
 

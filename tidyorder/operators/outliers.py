@@ -15,7 +15,6 @@ from tidyorder.functions.keyed import PRIME, draw_hash
 from tidyorder.functions.ordering import quantiles
 from tidyorder.operators.impute import apply_scaling, fill, fit_robust
 from tidyorder.operators.neighbors import nearest
-from tidyorder.operators.sampling import mark_exact_k
 from tidyorder.session import materialize, parallel_tasks, spread
 from tidyorder.sources.loaders import feature_columns
 
@@ -69,26 +68,34 @@ def _grow_tree(rows: np.ndarray, depth_limit: int, tree: int, seed: int) -> list
     return [tuple(n) for n in nodes]
 
 
+def _tree_samples(scaled: DataFrame, features: list[str], seed: int, trees: int, tree_rows: int) -> DataFrame:
+    """(tree, features...) of the rows of each tree. One pass keeps hashes below a bound that
+    twice the wanted rows are expected to pass, and only those are ranked; should a tree
+    fall short, the bound is doubled."""
+    n = scaled.count()
+    wanted, share = min(tree_rows, n), 2 * tree_rows / max(n, 1)
+    pick = Window.partitionBy("tree").orderBy("_h", "row_id")
+    while True:
+        draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(F.lit(seed), t, F.col("row_id")).alias("_h")))
+        if share < 1:
+            bound = int(share * 2**64) - 2**63
+            draws = F.filter(draws, lambda x: x["_h"] < bound)
+        low = scaled.withColumn("_draws", draws).where(F.size("_draws") > 0)
+        low = materialize(low.select("row_id", *features, F.explode("_draws").alias("_draw")).select("row_id", *features, "_draw.*"))
+        enough = low.groupBy("tree").count().where(F.col("count") >= wanted).count()
+        if share >= 1 or enough == trees:
+            return low.withColumn("_rn", F.row_number().over(pick)).where(F.col("_rn") <= tree_rows).drop("_rn", "_h")
+        share *= 2
+
+
 def isolation_scores(scaled: DataFrame, seed: int, trees: int = TREES, tree_rows: int = TREE_ROWS) -> DataFrame:
     """(row_id, score): 2^(-mean path / expected path); larger means more isolated.
 
-    Each tree sees exactly `tree_rows` rows. Trees are grown one per task from a keyed
-    pool of at most trees * tree_rows rows, so the work of growing does not depend on
-    the table; every row is then scored.
+    Each tree sees the `tree_rows` rows of the whole table (all rows of a smaller one) with
+    the smallest hashes for that tree. Trees are grown one per task; every row is scored.
     """
     features = [c for c in scaled.columns if c != "row_id"]
-    # pool and forest are bounded by trees * tree_rows, whatever the table holds
-    pool = materialize(mark_exact_k(
-        scaled, "row_id", seed, F.lit(trees * tree_rows), salt=[F.lit("forest")]
-    ).where("hit").drop("hit"))
-    pick = Window.partitionBy("tree").orderBy("_h", "row_id")
-    chosen = (
-        pool.select("row_id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-        .withColumn("_h", F.xxhash64(F.lit(seed), "tree", "row_id"))
-        .withColumn("_rn", F.row_number().over(pick))
-        .where(F.col("_rn") <= tree_rows)
-    )
-    sample = chosen.join(pool, "row_id")
+    sample = _tree_samples(scaled, features, seed, trees, tree_rows)
 
     def grow(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         rows = part.sort_values("row_id")[features].to_numpy(dtype=float)

@@ -10,11 +10,17 @@ from pyspark.sql.window import Window
 
 from tidyorder.functions.keyed import hash_hex, uniform
 
-_BUCKET_DIGITS = 3  # 4096 hash buckets per group
+# Hex digits of a hash bucket: 65,536 per group. Ranks and cuts do not depend on it; a task
+# sorts one bucket, and bucket counts are scanned per group.
+_BUCKET_DIGITS = 4
 
 
 def _hashed(df: DataFrame, key: str, seed: Column | int, salt: Sequence[Column | str]) -> DataFrame:
-    hashed = df.withColumn("_h", hash_hex(seed, *salt, key))
+    return with_buckets(df.withColumn("_h", hash_hex(seed, *salt, key)))
+
+
+def with_buckets(hashed: DataFrame) -> DataFrame:
+    """Adds the bucket `_hb` of a hash `_h`."""
     return hashed.withColumn("_hb", F.substring("_h", 1, _BUCKET_DIGITS))
 
 
@@ -37,7 +43,7 @@ def hash_rank(
 ) -> DataFrame:
     """Exact 1..n rank by (keyed hash, key) inside each group.
 
-    Rows are ranked inside 4096 hash buckets per group, so no group is one task; only
+    Rows are ranked inside hash buckets, so no group is one task; only
     the bucket counts are scanned in order.
     """
     groups = _keyed(by)
@@ -64,9 +70,22 @@ def mark_exact_k(
     """
     groups = _keyed(by)
     hashed = _hashed(_with_group(df, by), key, seed, salt)
+    cut = exact_cuts(hashed, key, groups, _with_group(k, by) if isinstance(k, DataFrame) else k, _few_groups(by))
+    # one cut per group: broadcast for whole tables and classes, else Spark sizes the join
+    marked = hashed.join(F.broadcast(cut) if _few_groups(by) else cut, groups, "left")
+    hit = (F.col("_h") < F.col("_h_cut")) | (
+        (F.col("_h") == F.col("_h_cut")) & (F.col(key) <= F.col("_key_cut"))
+    )
+    return marked.withColumn(out, F.coalesce(hit, F.lit(False))).select(*df.columns, out)
+
+
+def exact_cuts(hashed: DataFrame, key: str, groups: Sequence[str], k: Column | DataFrame, few: bool = False) -> DataFrame:
+    """(groups..., _h_cut, _key_cut): hash and key of the k-th row per group of rows with a
+    hash `_h` and its bucket `_hb`. Groups with k = 0 have no row."""
+    groups = list(groups)
     counts = hashed.groupBy(*groups, "_hb").agg(F.count("*").alias("_cnt"))
     if isinstance(k, DataFrame):
-        quota = _with_group(k, by)
+        quota = k
     else:
         quota = counts.groupBy(*groups).agg(F.sum("_cnt").alias("n")).select(*groups, k.alias("k"))
     running = Window.partitionBy(*groups).orderBy("_hb")
@@ -82,19 +101,13 @@ def mark_exact_k(
     )
     # one bucket per group is looked at in detail
     inside = Window.partitionBy(*groups, "_hb").orderBy("_h", key)
-    cut = (
+    return (
         hashed.select(*groups, "_hb", "_h", key)
-        .join(F.broadcast(edge) if _few_groups(by) else edge, groups + ["_hb"])
+        .join(F.broadcast(edge) if few else edge, groups + ["_hb"])
         .withColumn("_rn", F.row_number().over(inside))
         .where(F.col("_rn") == F.col("_need"))
         .select(*groups, F.col("_h").alias("_h_cut"), F.col(key).alias("_key_cut"))
     )
-    # one cut per group: broadcast for whole tables and classes, else Spark sizes the join
-    marked = hashed.join(F.broadcast(cut) if _few_groups(by) else cut, groups, "left")
-    hit = (F.col("_h") < F.col("_h_cut")) | (
-        (F.col("_h") == F.col("_h_cut")) & (F.col(key) <= F.col("_key_cut"))
-    )
-    return marked.withColumn(out, F.coalesce(hit, F.lit(False))).select(*df.columns, out)
 
 
 def class_counts(df: DataFrame, by: Sequence[str] = (), label: str = "label") -> DataFrame:

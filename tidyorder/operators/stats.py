@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+from statistics import NormalDist
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -114,8 +116,7 @@ def permutation_test(runs: DataFrame, by: Sequence[str] = PAIR, draws: int = 10_
     """Permutation test of the order sensitivity and of the plain best-worst gap.
 
     Order labels are shuffled within each seed. One task handles one block of draws of
-    one group, so draws need no shuffle. Groups with more than SEEDS_PER_TASK seeds are
-    split by seed and their partial sums added per draw.
+    one group and at most SEEDS_PER_TASK of its seeds; the partial sums of a draw are added.
     """
     runs, by = _grouped(runs, by)
     blocks = _score_rows(runs, by).withColumn("_g", group_code(*by)).withColumn(
@@ -130,22 +131,6 @@ def permutation_test(runs: DataFrame, by: Sequence[str] = PAIR, draws: int = 10_
         numbers = np.arange(row["_first_draw"], min(row["_first_draw"] + DRAWS_PER_TASK, draws), dtype=np.int64)
         return _shuffled_sums(row["rows"], int(row["chunk"]) * SEEDS_PER_TASK, int(row["n_seeds"]), int(row["_g"]), numbers)
 
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for row in batch.to_dict("records"):
-                means = sums_of(row) / row["n_seeds"]
-                high, low = means.max(axis=1), means.min(axis=1)
-                null = (high - low) / high
-                seen = (row["best"] - row["worst"]) / row["best"]
-                out.append({
-                    **{c: row[c] for c in kept},
-                    "null_sum": null.sum(),
-                    "osi_hits": int((null >= seen - TIE_SLACK).sum()),
-                    "gap_hits": int((high - low >= row["best"] - row["worst"] - TIE_SLACK).sum()),
-                })
-            yield pd.DataFrame(out, columns=[*kept, "null_sum", "osi_hits", "gap_hits"])
-
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.to_dict("records"):
@@ -153,23 +138,15 @@ def permutation_test(runs: DataFrame, by: Sequence[str] = PAIR, draws: int = 10_
                 numbers = row["_first_draw"] + np.arange(len(sums))
                 yield pd.DataFrame({**{c: row[c] for c in kept}, "draw": numbers, "sums": list(sums)})
 
-    small = blocks.where(F.col("n_seeds") <= SEEDS_PER_TASK).mapInPandas(
-        whole, f"{kept_schema}, null_sum double, osi_hits bigint, gap_hits bigint"
-    )
-    pieces = blocks.where(F.col("n_seeds") > SEEDS_PER_TASK).mapInPandas(
-        partial, f"{kept_schema}, draw bigint, sums array<double>"
-    )
+    pieces = blocks.mapInPandas(partial, f"{kept_schema}, draw bigint, sums array<double>")
     means = pieces.select(*kept, "draw", F.posexplode("sums").alias("place", "part")).groupBy(
         *kept, "draw", "place"
     ).agg((F.sum("part") / F.col("n_seeds")).alias("m"))
     spread = means.groupBy(*kept, "draw").agg(F.max("m").alias("hi"), F.min("m").alias("lo"))
-    large = spread.groupBy(*kept).agg(
-        F.sum((F.col("hi") - F.col("lo")) / F.col("hi")).alias("null_sum"),
-        F.count_if((F.col("hi") - F.col("lo")) / F.col("hi") >= osi_expr("best", "worst", False) - TIE_SLACK).alias("osi_hits"),
-        F.count_if(F.col("hi") - F.col("lo") >= F.col("best") - F.col("worst") - TIE_SLACK).alias("gap_hits"),
-    )
-    total = small.unionByName(large).groupBy(*kept).agg(
-        F.sum("null_sum").alias("s"), F.sum("osi_hits").alias("a"), F.sum("gap_hits").alias("b")
+    total = spread.groupBy(*kept).agg(
+        F.sum((F.col("hi") - F.col("lo")) / F.col("hi")).alias("s"),
+        F.count_if((F.col("hi") - F.col("lo")) / F.col("hi") >= osi_expr("best", "worst", False) - TIE_SLACK).alias("a"),
+        F.count_if(F.col("hi") - F.col("lo") >= F.col("best") - F.col("worst") - TIE_SLACK).alias("b"),
     )
     return total.select(
         *[c for c in by if c != "_all"],
@@ -266,9 +243,17 @@ def friedman(runs: DataFrame, by: Sequence[str] = PAIR) -> DataFrame:
     )
 
 
-def wilcoxon(df: DataFrame, by: Sequence[str], value: str, alternative: str = "two-sided") -> DataFrame:
-    """Signed-rank test per group: n, w_plus, p. Zeros are dropped. Exact for up to 50 values
-    without ties or zeros, else the tie-corrected normal approximation."""
+def wilcoxon(
+    df: DataFrame, by: Sequence[str], value: str, alternative: str = "two-sided", method: str = "auto"
+) -> DataFrame:
+    """Signed-rank test per group: n, w_plus, p. Zeros are dropped.
+
+    method: "exact" uses the exact law wherever there are no ties or zeros, "approx" the
+    tie-corrected normal approximation, and "auto", the usual default, the exact law for up
+    to EXACT_LIMIT values without ties or zeros and else the approximation.
+    """
+    if method not in ("auto", "exact", "approx"):
+        raise ValueError(f"unknown method {method!r}; valid: auto, exact, approx")
     frame, by = _grouped(df, by)
     frame = frame.where(F.col(value).isNotNull()).select(
         *by, F.abs(value).alias("_size"), (F.col(value) > 0).cast("int").alias("_pos")
@@ -285,7 +270,9 @@ def wilcoxon(df: DataFrame, by: Sequence[str], value: str, alternative: str = "t
         F.coalesce(F.sum(F.when(~zero, F.col("ties") * F.col("ties") * F.col("ties") - F.col("ties"))), F.lit(0)).alias("tie_term"),
     ).withColumn("w_plus", F.col("w") - F.col("zeros") * F.col("positive"))
     n = F.col("n").cast("double")
-    exact = (F.col("n") <= EXACT_LIMIT) & (F.col("n") > 0) & (F.col("most") <= 1) & (F.col("zeros") == 0)
+    exact = (F.col("n") > 0) & (F.col("most") <= 1) & (F.col("zeros") == 0) & F.lit(method != "approx")
+    if method == "auto":
+        exact = exact & (F.col("n") <= EXACT_LIMIT)
     sums = sums.withColumn("exact", exact).withColumn(
         "_counts", F.when(F.col("exact"), signed_rank_counts(F.when(F.col("exact"), F.col("n")).cast("int")))
     )
@@ -413,34 +400,47 @@ def _walsh_at(d: np.ndarray, k: int) -> float:
     return float(high)
 
 
-def _hl(values: np.ndarray, alpha: float) -> tuple[float, float | None, float | None]:
+def _signed_rank_quantile(n: int, q: float) -> int:
+    """Smallest w with P(W <= w) > q for the signed-rank sum of n values, by its exact law."""
+    law = np.zeros(n * (n + 1) // 2 + 1)
+    law[0] = 1.0
+    for r in range(1, n + 1):
+        law[r:] += law[:-r].copy()
+        law *= 0.5
+    return int(np.searchsorted(np.cumsum(law), q, side="right"))
+
+
+def _hl(values: np.ndarray, alpha: float, method: str) -> tuple[float, float | None, float | None]:
     d = np.sort(values.astype(float))
     n = len(d)
     m = n * (n + 1) // 2
     estimate = (_walsh_at(d, (m + 1) // 2) + _walsh_at(d, m // 2 + 1)) / 2
-    if n <= 300:
-        counts = np.zeros(m + 1)
-        counts[0] = 1.0
-        for r in range(1, n + 1):
-            counts[r:] += counts[:-r].copy()
-        k = int(np.searchsorted(np.cumsum(counts) / counts.sum(), alpha / 2, side="right"))
+    if method == "exact":
+        k = _signed_rank_quantile(n, alpha / 2)
     else:
-        k = int(n * (n + 1) / 4 - 1.959963984540054 * np.sqrt(n * (n + 1) * (2 * n + 1) / 24))
+        z = NormalDist().inv_cdf(1 - alpha / 2)
+        k = int(n * (n + 1) / 4 - z * np.sqrt(n * (n + 1) * (2 * n + 1) / 24))
     if k < 1:
         return estimate, None, None
     return estimate, _walsh_at(d, k), _walsh_at(d, m - k + 1)
 
 
-def hodges_lehmann(df: DataFrame, by: Sequence[str], value: str, alpha: float = 0.05) -> DataFrame:
+def hodges_lehmann(
+    df: DataFrame, by: Sequence[str], value: str, alpha: float = 0.05, method: str = "exact"
+) -> DataFrame:
     """Median of pairwise means with the signed-rank interval; NULL bounds where none exists.
 
     The sample is one difference per dataset. Order statistics of the pairwise means
-    come from counting, so memory stays linear in the sample.
+    come from counting, so their memory stays linear in the sample. The rank of the bounds
+    comes from the exact law of the signed-rank sum, whose work grows with the cube of the
+    sample, or with method="normal" from its normal approximation, whatever the size.
     """
+    if method not in ("exact", "normal"):
+        raise ValueError(f"unknown method {method!r}; valid: exact, normal")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*by).schema)
 
     def estimate(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        point, low, high = _hl(part[value].to_numpy(), alpha)
+        point, low, high = _hl(part[value].to_numpy(), alpha, method)
         return pd.DataFrame([[*key, point, low, high]], columns=[*by, "hl", "ci_lo", "ci_hi"])
 
     return df.where(F.col(value).isNotNull()).select(*by, value).groupBy(*by).applyInPandas(

@@ -15,8 +15,9 @@ from tidyorder.operators.models import CLASSIFIERS, Fit, train_and_evaluate
 from tidyorder.operators.outliers import remove_isolated
 from tidyorder.session import materialize
 
+# Sequence labels of the published table.
 BAL_FIRST, LNR_FIRST = "IMP→BAL→LNR", "IMP→LNR"
-VARIANTS = (BAL_FIRST, "IMP→LNR (oversampling inside folds)", "IMP→LNR (class-weighted)")
+VARIANTS = (BAL_FIRST, "IMP→LNR (SMOTE inside folds)", "IMP→LNR (class-weighted)")
 
 
 def relabel_stats(observed: DataFrame, corrected: DataFrame, minority: Column | int, by: Sequence[str] = ()) -> DataFrame:

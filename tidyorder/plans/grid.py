@@ -16,6 +16,7 @@ from tidyorder.operators.models import CLASSIFIERS, Fit, eligible, train_and_eva
 from tidyorder.operators.sampling import stratified_split
 from tidyorder.plans.sequence import MethodSet, order_name, walk_orders
 from tidyorder.session import materialize
+from tidyorder.sources.loaders import nan_to_null, require_binary
 
 SEEDS = (42, 43, 44, 45, 46)
 
@@ -121,6 +122,7 @@ def smoke_grid(grid: DataFrame, kind_size: int, number: str = "order_no") -> Dat
 RUN_SCHEMA = T.StructType([
     T.StructField("dataset", T.StringType()),
     T.StructField("cleaning_order", T.StringType()),
+    T.StructField("permutation", T.StringType()),
     T.StructField("seq_len", T.IntegerType()),
     T.StructField("seed", T.IntegerType()),
     T.StructField("n_train_input", T.LongType()),
@@ -132,6 +134,8 @@ RUN_SCHEMA = T.StructType([
     T.StructField("label_noise__n_relabelled", T.LongType()),
     T.StructField("label_noise__n_removed_noise", T.LongType()),
     T.StructField("balance__n_synthetic", T.LongType()),
+    T.StructField("balance__skipped", T.BooleanType()),
+    T.StructField("balance__reason", T.StringType()),
     T.StructField("balanced_accuracy", T.DoubleType()),
     T.StructField("converged", T.BooleanType()),
     T.StructField("n_train", T.LongType()),
@@ -144,6 +148,10 @@ RUN_SCHEMA = T.StructType([
 ])
 
 
+#: Names of the steps in run tables.
+STEP_NAMES = {"IMP": "imputation", "OUT": "outliers", "LNR": "label_noise", "BAL": "balance"}
+
+
 def flatten_log(log: Sequence[dict[str, object]]) -> dict[str, object]:
     """Step log as run-table columns. A label step that never relabels counts 0; no label
     step counts NULL."""
@@ -154,6 +162,8 @@ def flatten_log(log: Sequence[dict[str, object]]) -> dict[str, object]:
     if "balance" in by_name:
         out["smote_skipped"] = bool(by_name["balance"].get("skipped", False))
         out["smote_skip_reason"] = by_name["balance"].get("reason", "")
+        out["balance__skipped"] = bool(by_name["balance"].get("skipped", False))
+        out["balance__reason"] = by_name["balance"].get("reason")
     if "label_noise" in by_name:
         out["n_relabelled"] = by_name["label_noise"].get("n_relabelled", 0)
     return out
@@ -175,6 +185,7 @@ def evaluate_orders(
         usable = [c for c in classifiers if "IMP" in steps or c != "logistic_regression"]
         base = {
             "dataset": dataset, "stage": stage, "code_id": code_id, "cleaning_order": order,
+            "permutation": str(tuple(STEP_NAMES[s] for s in steps)),
             "seq_len": len(steps), "seed": seed, "n_train_input": n_input, **flatten_log(log),
         }
         if cleaned is None:
@@ -195,8 +206,10 @@ def run_condition(
     features: DataFrame, dataset: str, stage: str, *, orders: Sequence[Sequence[str]], seeds: Sequence[int],
     code_id: str, fit: Fit = Fit(), classifiers: Sequence[str] = CLASSIFIERS, condition: Condition | None = None,
 ) -> DataFrame:
-    """Split, corrupt the training part, clean in every order, evaluate on the clean test part."""
+    """Split, corrupt the training part, clean in every order, evaluate on the clean test part.
+    NaN cells count as missing; a target that is not binary is an error."""
     spec = condition or CONDITIONS[stage]
+    features = nan_to_null(require_binary(features))
     rows = []
     for seed in seeds:
         split = materialize(stratified_split(features, seed))

@@ -133,7 +133,7 @@ def walk_orders(
                 done = apply_step(table, code, seed, methods)
             except Exception as problem:  # noqa: BLE001 - recorded on every order below
                 for order in sorted(o for o in wanted if o[: len(below)] == below):
-                    yield order_name(order), None, log, f"cleaning: {problem}"[:500]
+                    yield order_name(order), None, log, f"cleaning: {problem}"
                 continue
             yield from visit(below, done.df, [*log, {"operation": OPERATIONS[code], **done.log}])
 

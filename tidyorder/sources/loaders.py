@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import csv
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,9 +15,10 @@ from pyspark.sql.window import Window
 # ------------------------------------------------------------------ CSV reading
 def csv_has_header(spark: SparkSession, path: str, sep: str = ",") -> bool:
     """A first line with any non-numeric cell is a header."""
-    first = spark.read.text(path).select(F.split("value", sep).alias("cells")).first()
+    first = spark.read.text(path).first()
     if first is None:
         raise ValueError(f"{path} is empty")
+    cells = next(csv.reader([first["value"]], delimiter=sep, skipinitialspace=True), [])  # quotes are not part of a cell
 
     def numeric(cell: str) -> bool:
         try:
@@ -25,7 +27,7 @@ def csv_has_header(spark: SparkSession, path: str, sep: str = ",") -> bool:
             return False
         return True
 
-    return not all(numeric(c) for c in first["cells"])
+    return not all(numeric(c) for c in cells)
 
 
 def read_numeric_csv(spark: SparkSession, path: str, target: str = "Outcome") -> DataFrame:
@@ -39,9 +41,13 @@ def read_numeric_csv(spark: SparkSession, path: str, target: str = "Outcome") ->
     )
 
 
-def read_named_csv(spark: SparkSession, path: str, names: Sequence[str], null_token: str = "?") -> DataFrame:
-    """Headerless CSV with given names; leading blanks trimmed, one token read as NULL."""
-    schema = ", ".join(f"`{n}` string" for n in names)
+def read_named_csv(
+    spark: SparkSession, path: str, names: Sequence[str], null_token: str = "?", types: Mapping[str, str] | None = None
+) -> DataFrame:
+    """Headerless CSV with given names; leading blanks trimmed, one token read as NULL.
+    `types` gives the SQL types of columns that are not text, so that the table can go on to
+    `to_features` with its numbers as numbers."""
+    schema = ", ".join(f"`{n}` {(types or {}).get(n, 'string')}" for n in names)
     return spark.read.schema(schema).csv(
         path, header=False, ignoreLeadingWhiteSpace=True, nullValue=null_token
     )
@@ -89,12 +95,12 @@ class TableSpec:
 
 
 def nominal_columns(df: DataFrame, names: Sequence[str]) -> list[str]:
-    """Resolve nominal names without regard to case; unknown names are an error."""
-    known = {c.upper(): c for c in df.columns}
-    missing = [n for n in names if n.upper() not in known]
-    if missing:
-        raise KeyError(f"nominal columns not found: {missing}; columns are {df.columns}")
-    return [known[n.upper()] for n in names]
+    """The table's own spelling of nominal names, which are given without regard to case."""
+    wanted = {n.casefold() for n in names}
+    found = {c.casefold(): c for c in df.columns if c.casefold() in wanted}
+    if unknown := wanted - found.keys():
+        raise KeyError(f"the table has no column for the nominal names {sorted(unknown)}")
+    return [found[n.casefold()] for n in names]
 
 
 def to_features(df: DataFrame, spec: TableSpec) -> DataFrame:
@@ -129,9 +135,9 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 def require_binary(df: DataFrame, label: str = "label") -> DataFrame:
     """Fail unless the label takes exactly two values."""
-    found = df.select(label).where(F.col(label).isNotNull()).distinct().limit(3).collect()
-    if len(found) != 2:
-        raise ValueError(f"expected a binary target, found {len(found)} classes")
+    classes = df.agg(F.count_distinct(label)).first()[0]
+    if classes != 2:
+        raise ValueError(f"expected a binary target, found {classes} classes")
     return df
 
 
