@@ -154,6 +154,16 @@ def test_rates_against_numpy(spark):
     assert np.abs((mass * got) @ p - goal).max() < 0.02
 
 
+@pytest.mark.parametrize("n_toxic", [1, 10, 1000])
+def test_rates_of_a_rare_domain(spark, n_toxic):
+    rng = np.random.default_rng(5)
+    p = [0.999] * n_toxic + [float(v) for v in rng.beta(0.02, 200, 10000 - n_toxic)]
+    rows = spark.createDataFrame([(i, 100, [1 - v, v]) for i, v in enumerate(p)], "doc_id long, n_tokens long, p array<double>")
+    got = fit_rates(rows, [1.0, 0.0]).orderBy("doc_id").toPandas().rate.to_numpy()
+    assert got[:n_toxic].max() < 0.05
+    assert (got[n_toxic:] < 0.5).mean() < 0.01 and abs(got.mean() - 1) < 0.02
+
+
 def test_mixing_meets_targets_and_knows_its_domains(spark):
     rows = QUERIES["op3_soft_mixing"](spark, LARGER).toPandas()
     total = rows.n_tokens.sum()

@@ -123,9 +123,13 @@ def fit_rates(rows: DataFrame, weights: list[float], ridge: float = 1e-3, steps:
     """`rows` (n_tokens, p, ...) with a column rate >= 0.
 
     Minimises the squared distance of expected domain tokens, sum of rate * n_tokens * p, from
-    weight * all tokens, plus `ridge` times the token-weighted squared distance of rates from 1.
-    Steps have Barzilai-Borwein length. The state is written every KEPT steps; between, steps
-    are columns. Ends when residuals change by less than `tolerance` of a part, or after `steps`.
+    weight * all tokens, each domain over the larger of what it holds and what it should hold,
+    plus `ridge` times the token-weighted squared distance of rates from 1. So a domain counts
+    the same however rare it is, and one that should hold nothing gets rates near 0 at any share.
+    Steps have Barzilai-Borwein length, long and short by turns; one that does not lower the value
+    is taken again, shorter. The state is written every KEPT steps; between, steps are columns.
+    Ends where the projected gradient of every row with tokens is below `tolerance`, or after
+    `steps`.
     """
     d = len(weights)
     share = sum(weights) or 1.0
@@ -135,24 +139,37 @@ def fit_rates(rows: DataFrame, weights: list[float], ridge: float = 1e-3, steps:
     if not total:
         return state
     mass = F.col("n_tokens") / float(total)
-    flat = [*[F.sum(mass * F.col("p")[k] * F.col("rate")).alias(f"e{k}") for k in range(d)], F.sum(mass * F.pow(F.col("rate") - F.col("old"), 2)).alias("moved")]
-    pull = lambda e: sum(F.col("p")[k] * F.lit(e[k]) for k in range(d)) + ridge * (F.col("rate") - 1)
-    measure = lambda df: df.agg(*flat).first()
-    got = measure(state.withColumn("old", F.col("rate")))
-    e, length, last = [got[k] - goal[k] for k in range(d)], 1.0, None
+    p, rate, old = F.col("p"), F.col("rate"), F.col("old")
+    flat = [*[F.sum(mass * p[k] * rate).alias(f"e{k}") for k in range(d)], F.sum(mass * F.pow(rate - old, 2)).alias("moved"), F.sum(mass * F.pow(rate - 1, 2)).alias("away")]
+    # how far a step of length 1 from the old rate would go
+    flat.append(F.max(F.when(F.col("n_tokens") > 0, F.abs(old - F.greatest(F.lit(0.0), old - F.col("slope"))))).alias("open"))
+    shared = [F.sum(mass * p[j] * p[k]).alias(f"g{j}_{k}") for j in range(d) for k in range(d)]
+    got = state.withColumn("old", rate).withColumn("slope", F.lit(0.0)).agg(*flat, *shared).first()
+    gram = [[got[f"g{j}_{k}"] for k in range(d)] for j in range(d)]
+    held = [max(got[k], goal[k]) for k in range(d)]
+    scaled = lambda row: [(row[k] - goal[k]) / held[k] if held[k] > 0 else 0.0 for k in range(d)]
+    worth = lambda e, row: sum(x * x * h for x, h in zip(e, held)) + ridge * row["away"]
+    e, length = scaled(got), 1.0
+    value = worth(e, got)
     for step in range(1, steps + 1):
-        gradient = pull(e)
-        state = state.withColumn("old", F.col("rate")).withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - length * gradient))
+        state = state.withColumn("old", rate).withColumn("slope", sum(p[k] * F.lit(e[k]) for k in range(d)) + ridge * (rate - 1))
+        state = state.withColumn("rate", F.greatest(F.lit(0.0), old - length * F.col("slope")))
         if step % KEPT == 0:
             state = stash(state, "mixing-rates")
-        got = measure(state)
-        new = [got[k] - goal[k] for k in range(d)]
-        change = sum((a - b) ** 2 for a, b in zip(new, e)) + ridge * got["moved"]
-        moved, e, last = got["moved"], new, e
-        if max(map(abs, e)) < tolerance or math.sqrt(moved) < tolerance * 1e-2:
-            break
-        length = min(1e3, max(1e-2, moved / change)) if change > 0 else 1.0
-    return stash(state.drop("old"), "mixing-rates")
+        got = state.agg(*flat).first()
+        new = scaled(got)
+        if got["open"] < tolerance or worth(new, got) > value:
+            state = state.withColumn("rate", old)
+            if got["open"] < tolerance:
+                break
+            length = max(1.0 if length > 1 else length / 2, length / 8)
+            continue
+        diff = [a - b for a, b in zip(new, e)]
+        bend = sum(x * x * h for x, h in zip(diff, held))
+        along, turned = bend + ridge * got["moved"], sum(diff[j] * diff[k] * gram[j][k] for j in range(d) for k in range(d)) + 2 * ridge * bend + ridge**2 * got["moved"]
+        length = min(1e3, max(1e-2, along / turned if step % 2 else got["moved"] / along)) if along > 0 and turned > 0 else 1.0
+        e, value = new, worth(new, got)
+    return stash(state.drop("old", "slope"), "mixing-rates")
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
