@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidyorder.llm import context_mixing as cm
-from tidyorder.llm import quality
+from tidyorder.llm import quality, surrogates
 from tidyorder.llm.mixing import fit_rates, mix, posteriors
 from tidyorder.llm.queries import QUERIES
 from tidyorder.llm.sharding import assign_shards, with_shard
@@ -229,6 +229,17 @@ def test_surrogates_stay_distinct_where_draws_clash(spark):
     assert again != {(r.kind, r.canon): r.s for r in surrogate_table(entities, "other").collect()}
 
 
+def test_surrogates_of_more_names_than_short_ones(spark, monkeypatch):
+    monkeypatch.setitem(surrogates.SYLLABLES, "latin", ["ba", "de"])
+    monkeypatch.setitem(surrogates.ENDINGS["latin"], "surname", ["sen"])
+    canon = [("surname", f"n{k}") for k in range(40)]  # two to four syllables make 28 names
+    entities = spark.createDataFrame(canon, "kind string, canon string").coalesce(1)
+    late = surrogates._with_surrogate(entities.withColumn("attempt", F.lit(20)), "k")
+    assert late.select("s").distinct().count() > 28
+    got = surrogate_table(entities, "k").collect()
+    assert len(got) == 40 == len({r.s for r in got})
+
+
 # sharding
 
 

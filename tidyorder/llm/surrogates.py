@@ -81,7 +81,7 @@ def _drawn(x: str, hexed: str, classes: dict[str, str]) -> str:
     return f"if(length({x}) = 0, '', array_join(transform(sequence(1, length({x})), i -> CASE {cases} ELSE substr({x}, i, 1) END), ''))"
 
 
-def _pick(values: list[str], hexed: str, at: int) -> str:
+def _pick(values: list[str], hexed: str, at: int | str) -> str:
     listed = ", ".join(_sql(v) for v in values)
     return f"element_at(array({listed}), 1 + cast(conv(substr({hexed}, {at}, 4), 16, 10) as int) % {len(values)})"
 
@@ -89,7 +89,10 @@ def _pick(values: list[str], hexed: str, at: int) -> str:
 def _name(kind: str) -> str:
     by_script = []
     for script, syllables in SYLLABLES.items():
-        parts = [_pick(syllables, "h", 1), _pick(syllables, "h", 9), f"if(attempt > 2, {_pick(syllables, 'h', 17)}, '')", f"if(attempt > 6, {_pick(syllables, 'h', 25)}, '')", _pick(ENDINGS[script][kind], "h", 33)]
+        parts = [_pick(syllables, "h", 1), _pick(syllables, "h", 9), f"if(attempt > 2, {_pick(syllables, 'h', 17)}, '')", f"if(attempt > 6, {_pick(syllables, 'h', 25)}, '')"]
+        # from then on a syllable more at each attempt, so that there are more names than entities
+        parts.append(f"if(attempt > 7, array_join(transform(sequence(1, attempt - 7), j -> {_pick(syllables, 'h', '41 + (4 * (j - 1)) % 212')}), ''), '')")
+        parts.append(_pick(ENDINGS[script][kind], "h", 33))
         test = {"latin": "true", "cyrillic": r"canon RLIKE '\\p{IsCyrillic}'", "greek": r"canon RLIKE '\\p{IsGreek}'"}[script]
         by_script.append((test, f"concat({', '.join(parts)})"))
     by_script.sort(key=lambda x: x[0] == "true")
