@@ -159,3 +159,10 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
         F.expr("strongest.length * 1000 div strongest.period").alias("exponent_milli"),
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidyorder.llm.conversations import damage, repair_conversations
+
+    return repair_conversations(damage(table(spark, sf_dir, "conversations")), present_col="present")
