@@ -166,3 +166,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidyorder.llm.conversations import damage, repair_conversations
 
     return repair_conversations(damage(table(spark, sf_dir, "conversations")), present_col="present")
+
+
+@query("op13_html_extraction")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidyorder.llm.html_text import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
