@@ -479,7 +479,7 @@ def _rule_kept(spark, d, mode: str) -> DataFrame:
     """The corrected table against the relabelling rule on the probabilities behind it."""
     noisy = _oof_input(spark, d)
     probs = labels.out_of_fold(noisy, SEED, mode)
-    again = labels.correct_labels(noisy, SEED, mode).select("row_id", F.col("label").alias("corrected"))
+    again = labels.correct_labels(noisy, SEED, mode, probs=probs).select("row_id", F.col("label").alias("corrected"))
     rule = F.expr("CASE WHEN (CASE WHEN p1 > p0 THEN 1 ELSE 0 END) <> label AND greatest(p0, p1) >= 0.7 THEN 1 - label ELSE label END")
     return probs.join(again, "row_id").agg(
         F.count("*").alias("n_rows"), F.count_if(F.abs(F.col("p0") + F.col("p1") - 1) < 1e-9).alias("n_sums_of_one"),
@@ -494,6 +494,16 @@ def _c10_rule(spark, d):
     return _rule_kept(spark, d, "plain")
 
 
+@query("c11_probabilities_of_every_row", with_(
+    OF, "SELECT label, count(*) AS n_rows, count(DISTINCT row_id) AS n_ids, count(*) AS n_in_range, true AS spread_out FROM order_features GROUP BY 1"))
+def _c11_rows(spark, d):
+    """Each row has one held-out probability; it is a mean over trees, so not 0 or 1 everywhere."""
+    probs = labels.out_of_fold(features(spark, d), SEED)
+    inside = F.col("p0").between(0, 1) & F.col("p1").between(0, 1) & (F.abs(F.col("p0") + F.col("p1") - 1) < 1e-9)
+    return probs.groupBy("label").agg(
+        F.count("*").alias("n_rows"), F.count_distinct("row_id").alias("n_ids"), F.count_if(inside).alias("n_in_range"), (F.stddev_pop("p1") > 0).alias("spread_out"))
+
+
 @query("c13_correction_follows_rule", _RULE_SQL)
 def _c13_rule(spark, d):
     return _rule_kept(spark, d, "fold_smote")

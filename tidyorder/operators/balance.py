@@ -107,6 +107,13 @@ def smote(df: DataFrame, seed: int, ratio: float = TARGET_RATIO, k: int = 5) ->
         uniform(seed, F.lit("gap"), "draw").alias("gap"),
     )
     joined = picks.join(ranked, "base_rank")
+    extra = joined.select((-F.col("draw")).alias("row_id"), F.lit(plan.minority).alias("label"), *_between(num, cat))
+    return _append(df, extra)
+
+
+def _between(num: list[str], cat: list[str]) -> list[Column]:
+    """Features of a row on the way (`gap`) from a base row to the neighbour in `slot` of its
+    list `near`; categories by majority of the list."""
     other = F.get("near", "slot")
 
     def blended(i: int, c: str) -> Column:
@@ -120,10 +127,63 @@ def smote(df: DataFrame, seed: int, ratio: float = TARGET_RATIO, k: int = 5) ->
         )
         return (-F.array_max(votes)["neg"]).alias(c)
 
-    extra = joined.select(
-        (-F.col("draw")).alias("row_id"),
-        F.lit(plan.minority).alias("label"),
-        *[blended(i, c) for i, c in enumerate(num)],
-        *[most_frequent(i, c) for i, c in enumerate(cat)],
+    return [*[blended(i, c) for i, c in enumerate(num)], *[most_frequent(i, c) for i, c in enumerate(cat)]]
+
+
+#: Distance between the copies of a point that belong to different folds, in an extra dimension.
+_APART = 1e100
+
+
+def smote_by_fold(folded: DataFrame, fills: DataFrame, seed: int, folds: int, ratio: float = TARGET_RATIO, k: int = 5) -> DataFrame:
+    """(row_id, label, only, features): for each fold the synthetic rows that `smote` makes of the
+    rows outside it, filled from `fills` (one row per fold), all from one neighbour join. The
+    folds stand apart in a further dimension, so a row meets only rows of its own training part.
+    """
+    num, cat = feature_columns(folded)
+    sizes = {(r["fold"], r["label"]): r["n"] for r in folded.groupBy("fold", "label").agg(F.count("*").alias("n")).collect()}
+    plans = {}
+    for fold in range(folds):
+        n0, n1 = (sum(n for (f, y), n in sizes.items() if f != fold and y == label) for label in (0, 1))
+        n_min, n_maj = min(n0, n1), max(n0, n1)
+        new = max(0, int(n_maj * ratio - n_min))
+        if n_min >= 2 and n_min / n_maj < ratio * 0.95 and new:
+            plans[fold] = BalancePlan(1 if n1 <= n0 else 0, n_min, n_maj, new, None)
+    kinds = {c: folded.schema[c].dataType.simpleString() for c in num + cat}
+    if not plans:
+        return folded.where("false").select("row_id", "label", F.lit(0).alias("only"), *num, *cat)
+    parts = [F.when((F.col("fold") != f) & (F.col("label") == p.minority), F.lit(f)) for f, p in plans.items()]
+    minority = folded.withColumn("only", F.explode(F.array_compact(F.array(*parts)))).drop("fold")
+    fills = fills.withColumnRenamed("fold", "only")
+    filled = minority.join(F.broadcast(fills), "only").select(  # one row per fold
+        "row_id", "only", *[F.coalesce(F.col(c), F.col(f"f_{c}")).cast(kinds[c]).alias(c) for c in num + cat]
     )
-    return _append(df, extra)
+    filled = materialize(filled)
+    space = filled.withColumn("unit", F.lit(1.0))
+    if cat:
+        spread = filled.groupBy("only").agg(F.array(*[F.stddev_pop(c) for c in num]).alias("sd"))
+        unit = spread.select("only", F.explode("sd").alias("sd")).groupBy("only").agg(F.median("sd").alias("unit"))
+        space = filled.join(F.broadcast(unit), "only")  # one row per fold
+    usable = F.col("unit") > 0
+    space = space.select(
+        (F.col("row_id") * folds + F.col("only")).alias("row_id"),
+        *[F.when(usable, F.col(c) / F.col("unit")).otherwise(F.col(c)).alias(f"s_{c}") for c in num],
+        (F.col("only") * _APART).alias("s_fold"),
+        *[F.when(usable, F.col(c)).otherwise(0).alias(f"s_{c}") for c in cat], *num, *cat,
+    )
+    found = nearest(space, space, k, num=[*[f"s_{c}" for c in num], "s_fold"], cat=[f"s_{c}" for c in cat], carry=[*num, *cat])
+    at = len(num) + 1 + len(cat)
+    own = F.filter("neighbors", lambda e: e["d2"] < _APART)  # fewer than k where the part is small
+    lists = found.select(
+        F.pmod("row_id", F.lit(folds)).cast("int").alias("only"), F.expr(f"floor(row_id / {folds})").cast("long").alias("row_id"),
+        F.transform(own, lambda e: F.slice(e["v"], at + 1, len(num) + len(cat))).alias("near"),
+    )
+    ranked = hash_rank(filled, "row_id", seed, ["only"], out="base_rank", salt=[F.lit("base")]).join(lists, ["only", "row_id"])
+    picks = None
+    for fold, plan in plans.items():
+        one = draws(folded.sparkSession, plan.n_new, seed, plan.n_min, "smote").withColumns({
+            "only": F.lit(fold), "new_label": F.lit(plan.minority), "slot": F.floor(uniform(seed, F.lit("neighbor"), "draw") * min(k, plan.n_min - 1)).cast("int"),
+            "gap": uniform(seed, F.lit("gap"), "draw"),
+        })
+        picks = one if picks is None else picks.unionByName(one)
+    joined = picks.join(ranked, ["only", "base_rank"])
+    return joined.select((-(F.col("draw") * folds + F.col("only"))).alias("row_id"), F.col("new_label").alias("label"), "only", *_between(num, cat))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidyorder.operators.balance import balance_plan, smote
-from tidyorder.operators.impute import apply_fill, apply_scaling, fill, fit_fill, fit_standard
-from tidyorder.operators.models import TREES, assemble, fixed_layout, forest, probabilities
+from tidyorder.operators.balance import smote_by_fold
+from tidyorder.operators.fold_forests import grow, held_out, lay_out
+from tidyorder.operators.impute import apply_scaling, fill, fit_fill_by_fold, fit_standard
+from tidyorder.operators.models import DEPTH, TREES
 from tidyorder.operators.neighbors import nearest
 from tidyorder.operators.sampling import stratified_folds
 from tidyorder.session import materialize
@@ -28,37 +28,30 @@ def class_weights(df: DataFrame) -> DataFrame:
     )
 
 
-def out_of_fold(df: DataFrame, seed: int, mode: str = "plain", trees: int = TREES, depth: int = 10) -> DataFrame:
+def out_of_fold(df: DataFrame, seed: int, mode: str = "plain", trees: int = TREES, depth: int = DEPTH) -> DataFrame:
     """(row_id, label, p0, p1): class probabilities from forests that did not see the row.
 
     `mode`: `plain`, `fold_smote` (oversample inside each training part) or `weighted`
-    (balanced class weights). Fills are fitted on the training part only. The fold
-    fits are independent Spark jobs submitted together.
+    (balanced class weights). Fills are fitted on the training part only. The forests of all
+    folds grow in the same passes over the table.
     """
     if mode not in ("plain", "fold_smote", "weighted"):
         raise ValueError(f"unknown mode: {mode}")
     num, cat = feature_columns(df)
     folded = materialize(stratified_folds(df.select("row_id", "label", *num, *cat), seed, folds=FOLDS))
-
-    def one(fold: int) -> DataFrame:
-        train, held = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
-        params = materialize(fit_fill(train))
-        train, held = apply_fill(train, params), apply_fill(held, params)
-        weight = None
-        if mode == "fold_smote":
-            train = smote(train.drop("fold"), seed)
-        elif mode == "weighted":
-            train = train.join(F.broadcast(class_weights(train)), "label")  # one row per class
-            weight = "weight"
-        model = forest(seed + fold, trees, depth, weight).fit(fixed_layout(assemble(train, weight)))
-        return probabilities(model, assemble(held))
-
-    with ThreadPoolExecutor(FOLDS) as pool:
-        parts = list(pool.map(one, range(FOLDS)))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return materialize(out)
+    fills = materialize(fit_fill_by_fold(folded, FOLDS))
+    by_fold = {r["fold"]: [float(r[f"f_{c}"]) for c in num + cat] for r in fills.collect()}  # one row per fold
+    known = np.array([by_fold.get(f, [0.0] * len(num + cat)) for f in range(FOLDS)])
+    rows = folded.withColumn("only", F.lit(-1))
+    if mode == "fold_smote":
+        rows = rows.unionByName(smote_by_fold(folded, fills, seed, FOLDS).withColumn("fold", F.lit(-1)))
+    weights = None
+    if mode == "weighted":
+        sizes = {(r["fold"], r["label"]): r["n"] for r in folded.groupBy("fold", "label").agg(F.count("*").alias("n")).collect()}
+        seen = np.array([[sum(n for (f, y), n in sizes.items() if f != fold and y == label) for label in (0, 1)] for fold in range(FOLDS)])
+        weights = seen.sum(axis=1, keepdims=True) / (np.maximum((seen > 0).sum(axis=1, keepdims=True), 1) * np.maximum(seen, 1))
+    layout = lay_out(rows, num + cat, known, seed)
+    return materialize(held_out(layout, grow(layout, seed, trees, depth, weights)))
 
 
 def relabelled(label: Column, p0: Column, p1: Column, threshold: Column | float) -> Column:
@@ -80,9 +73,13 @@ def relabel_at(probs: DataFrame, thresholds: list[float]) -> DataFrame:
     return each.select("threshold", "row_id", "label", new.alias("new_label"))
 
 
-def correct_labels(df: DataFrame, seed: int, mode: str = "plain", trees: int = TREES, depth: int = 10) -> DataFrame:
-    """Same rows, confident disagreements relabelled."""
-    new = relabel(out_of_fold(df, seed, mode, trees, depth)).select("row_id", "new_label")
+def correct_labels(
+    df: DataFrame, seed: int, mode: str = "plain", trees: int = TREES, depth: int = DEPTH, probs: DataFrame | None = None
+) -> DataFrame:
+    """Same rows, confident disagreements relabelled; `probs` are those of `out_of_fold` where
+    they are known already."""
+    probs = out_of_fold(df, seed, mode, trees, depth) if probs is None else probs
+    new = relabel(probs).select("row_id", "new_label")
     return df.join(new, "row_id").withColumn("label", F.col("new_label")).select(*df.columns)
 
 
