@@ -89,16 +89,11 @@ def smote(df: DataFrame, seed: int, ratio: float = TARGET_RATIO, k: int = 5) ->
             "row_id",
             *[F.when(F.col("unit") > 0, F.col(c) / F.col("unit")).otherwise(F.col(c)).alias(f"s_{c}") for c in num],
             *[F.when(F.col("unit") > 0, F.col(c)).otherwise(0).alias(f"s_{c}") for c in cat],
-            *num,
-            *cat,
         )
     else:
-        space = minority.select("row_id", *[F.col(c).alias(f"s_{c}") for c in num], *num)
-    found = nearest(
-        space, space, k, num=[f"s_{c}" for c in num], cat=[f"s_{c}" for c in cat], carry=[*num, *cat]
-    )
-    at = len(num) + len(cat)
-    lists = found.select("row_id", F.transform("neighbors", lambda e: F.slice(e["v"], at + 1, at)).alias("near"))
+        space = minority.select("row_id", *[F.col(c).alias(f"s_{c}") for c in num])
+    found = nearest(space, space, k, num=[f"s_{c}" for c in num], cat=[f"s_{c}" for c in cat])
+    lists = materialize(found.select("row_id", F.col("neighbors.id").alias("near")))
     ranked = hash_rank(minority, "row_id", seed, out="base_rank", salt=[F.lit("base")]).join(lists, "row_id")
     picks = draws(df.sparkSession, plan.n_new, seed, plan.n_min, "smote").select(
         "draw",
@@ -106,28 +101,24 @@ def smote(df: DataFrame, seed: int, ratio: float = TARGET_RATIO, k: int = 5) ->
         F.floor(uniform(seed, F.lit("neighbor"), "draw") * k).cast("int").alias("slot"),
         uniform(seed, F.lit("gap"), "draw").alias("gap"),
     )
-    joined = picks.join(ranked, "base_rank")
-    extra = joined.select((-F.col("draw")).alias("row_id"), F.lit(plan.minority).alias("label"), *_between(num, cat))
-    return _append(df, extra)
-
-
-def _between(num: list[str], cat: list[str]) -> list[Column]:
-    """Features of a row on the way (`gap`) from a base row to the neighbour in `slot` of its
-    list `near`; categories by majority of the list."""
-    other = F.get("near", "slot")
+    joined = picks.join(ranked, "base_rank").withColumn("id", F.get("near", F.col("slot")))
+    extra = _between(joined, lists, minority, num, cat, [])
+    return _append(df, extra.select((-F.col("draw")).alias("row_id"), F.lit(plan.minority).alias("label"), *num, *cat))
 
-    def blended(i: int, c: str) -> Column:
-        return (F.col(c) + F.col("gap") * (F.get(other, F.lit(i)) - F.col(c))).alias(c)
 
-    def most_frequent(i: int, c: str) -> Column:
-        codes = F.transform("near", lambda v: v[len(num) + i].cast("int"))
-        votes = F.transform(
-            F.array_distinct(codes),
-            lambda code: F.struct(F.size(F.filter(codes, lambda x: x == code)).alias("n"), (-code).alias("neg")),
-        )
-        return (-F.array_max(votes)["neg"]).alias(c)
-
-    return [*[blended(i, c) for i, c in enumerate(num)], *[most_frequent(i, c) for i, c in enumerate(cat)]]
+def _between(joined: DataFrame, lists: DataFrame, values: DataFrame, num: list[str], cat: list[str], by: list[str]) -> DataFrame:
+    """The rows of `joined` with features on the way (`gap`) from the base row they hold to the
+    neighbour `id`, whose values are fetched from `values`; categories by majority of the base
+    row's neighbours in `lists` (row_id, near), ties to the smallest code."""
+    other = values.select(*by, F.col("row_id").alias("id"), *[F.col(c).alias(f"o_{c}") for c in num])
+    out = joined.join(other, [*by, "id"])
+    if cat:
+        edges = lists.select(*by, "row_id", F.explode("near").alias("id"))
+        codes = edges.join(values.select(*by, F.col("row_id").alias("id"), *cat), [*by, "id"])
+        votes = codes.groupBy(*by, "row_id").agg(*[F.expr(f"mode() within group (order by `{c}`)").alias(f"v_{c}") for c in cat])
+        out = out.join(votes, [*by, "row_id"])
+    blended = {c: F.col(c) + F.col("gap") * (F.col(f"o_{c}") - F.col(c)) for c in num}
+    return out.withColumns({**blended, **{c: F.col(f"v_{c}") for c in cat}})
 
 
 #: Distance between the copies of a point that belong to different folds, in an extra dimension.
@@ -163,20 +154,19 @@ def smote_by_fold(folded: DataFrame, fills: DataFrame, seed: int, folds: int, ra
         spread = filled.groupBy("only").agg(F.array(*[F.stddev_pop(c) for c in num]).alias("sd"))
         unit = spread.select("only", F.explode("sd").alias("sd")).groupBy("only").agg(F.median("sd").alias("unit"))
         space = filled.join(F.broadcast(unit), "only")  # one row per fold
-    usable = F.col("unit") > 0
+    usable, bits = F.col("unit") > 0, (folds - 1).bit_length()
     space = space.select(
-        (F.col("row_id") * folds + F.col("only")).alias("row_id"),
+        (F.shiftleft("row_id", bits) + F.col("only")).alias("row_id"),
         *[F.when(usable, F.col(c) / F.col("unit")).otherwise(F.col(c)).alias(f"s_{c}") for c in num],
         (F.col("only") * _APART).alias("s_fold"),
-        *[F.when(usable, F.col(c)).otherwise(0).alias(f"s_{c}") for c in cat], *num, *cat,
+        *[F.when(usable, F.col(c)).otherwise(0).alias(f"s_{c}") for c in cat],
     )
-    found = nearest(space, space, k, num=[*[f"s_{c}" for c in num], "s_fold"], cat=[f"s_{c}" for c in cat], carry=[*num, *cat])
-    at = len(num) + 1 + len(cat)
+    found = nearest(space, space, k, num=[*[f"s_{c}" for c in num], "s_fold"], cat=[f"s_{c}" for c in cat])
     own = F.filter("neighbors", lambda e: e["d2"] < _APART)  # fewer than k where the part is small
-    lists = found.select(
-        F.pmod("row_id", F.lit(folds)).cast("int").alias("only"), F.expr(f"floor(row_id / {folds})").cast("long").alias("row_id"),
-        F.transform(own, lambda e: F.slice(e["v"], at + 1, len(num) + len(cat))).alias("near"),
-    )
+    lists = materialize(found.select(
+        (F.col("row_id") - F.shiftleft(F.shiftright("row_id", bits), bits)).cast("int").alias("only"), F.shiftright("row_id", bits).alias("row_id"),
+        F.transform(own, lambda e: F.shiftright(e["id"], bits)).alias("near"),
+    ))
     ranked = hash_rank(filled, "row_id", seed, ["only"], out="base_rank", salt=[F.lit("base")]).join(lists, ["only", "row_id"])
     picks = None
     for fold, plan in plans.items():
@@ -185,5 +175,6 @@ def smote_by_fold(folded: DataFrame, fills: DataFrame, seed: int, folds: int, ra
             "gap": uniform(seed, F.lit("gap"), "draw"),
         })
         picks = one if picks is None else picks.unionByName(one)
-    joined = picks.join(ranked, ["only", "base_rank"])
-    return joined.select((-(F.col("draw") * folds + F.col("only"))).alias("row_id"), F.col("new_label").alias("label"), "only", *_between(num, cat))
+    joined = picks.join(ranked, ["only", "base_rank"]).withColumn("id", F.get("near", F.col("slot")))
+    extra = _between(joined, lists, filled, num, cat, ["only"])
+    return extra.select((-(F.col("draw") * folds + F.col("only"))).alias("row_id"), F.col("new_label").alias("label"), "only", *num, *cat)

@@ -99,12 +99,6 @@ def impute_median(df: DataFrame) -> DataFrame:
     return fill(df)
 
 
-def mean_of_neighbors(position: int) -> Column:
-    """Mean of one vector entry over the `neighbors` array."""
-    total = F.aggregate("neighbors", F.lit(0.0), lambda s, e: s + e["v"][position])
-    return total / F.size("neighbors")
-
-
 def impute_neighbors(df: DataFrame, k: int = 5) -> DataFrame:
     """Mean of the k nearest rows that observe the column.
 
@@ -122,17 +116,9 @@ def impute_neighbors(df: DataFrame, k: int = 5) -> DataFrame:
     if num:
         wanting = scaled.where(F.size(gaps) > 0).select("*", gaps.alias("need"))
         found = nearest(wanting, scaled, k, num=cols, need="need")
-        means = found.groupBy("row_id").agg(
-            *[
-                F.max(
-                    F.when(
-                        F.col("need") == c,
-                        mean_of_neighbors(i),
-                    )
-                ).alias(f"knn_{c}")
-                for i, c in enumerate(num)
-            ]
-        )
+        edges = found.select("row_id", "need", F.explode("neighbors.id").alias("id"))
+        values = scaled.select(F.col("row_id").alias("id"), *num)
+        means = edges.join(values, "id").groupBy("row_id").agg(*[F.avg(F.when(F.col("need") == c, F.col(c))).alias(f"knn_{c}") for c in num])
         out = out.join(means, "row_id", "left").crossJoin(F.broadcast(params))  # exactly one row
 
         def cell(c: str) -> Column:

@@ -95,13 +95,11 @@ def edit_neighbors(df: DataFrame) -> DataFrame:
     filled = fill(df.select("row_id", "label", *num, *cat))
     doubles = filled.select("row_id", "label", *[F.col(c).cast("double").alias(c) for c in num + cat])
     scaled = materialize(apply_scaling(doubles, fit_standard(doubles, num + cat), num + cat))
-    found = nearest(scaled, scaled, 3, num=num + cat, carry=["label"])
-    at = len(num) + len(cat)
-    verdict = materialize(found.join(scaled.select("row_id", "label"), "row_id").select(
-        "row_id",
-        "label",
-        (F.size(F.filter("neighbors", lambda e: e["v"][at] != F.col("label"))) >= 2).alias("outlier"),
-    ))
+    found = nearest(scaled, scaled, 3, num=num + cat)
+    edges = found.select("row_id", F.explode("neighbors.id").alias("id"))
+    other = scaled.select(F.col("row_id").alias("id"), F.col("label").alias("other"))
+    against = edges.join(other, "id").join(scaled.select("row_id", "label"), "row_id").groupBy("row_id", "label")
+    verdict = materialize(against.agg((F.count_if(F.col("other") != F.col("label")) >= 2).alias("outlier")))
     if verdict.where("not outlier").select("label").distinct().count() < 2:
         return df
     return df.join(verdict.where("outlier").select("row_id"), "row_id", "left_anti").select(*df.columns)
