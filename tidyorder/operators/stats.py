@@ -16,6 +16,7 @@ from tidyorder.functions.distributions import chi2_upper, normal_upper, signed_r
 from tidyorder.functions.keyed import draw_hash, group_code
 from tidyorder.functions.ordering import cumulative_counts, running_extreme, value_ranks
 from tidyorder.operators.sampling import bootstrap_slots
+from tidyorder.session import parallel_tasks
 
 PAIR = ("dataset", "classifier")
 SCORE = "balanced_accuracy"
@@ -115,38 +116,49 @@ def _shuffled_sums(rows, first: int, n_seeds: int, group: int, draws: np.ndarray
 def permutation_test(runs: DataFrame, by: Sequence[str] = PAIR, draws: int = 10_000) -> DataFrame:
     """Permutation test of the order sensitivity and of the plain best-worst gap.
 
-    Order labels are shuffled within each seed. One task handles one block of draws of
-    one group and at most SEEDS_PER_TASK of its seeds; the partial sums of a draw are added.
+    Order labels are shuffled within each seed. A task handles blocks of draws of a group: the
+    chunks of its seeds come one after another, their sums are added in place, and each block
+    leaves one row. Draws never become rows.
     """
     runs, by = _grouped(runs, by)
     blocks = _score_rows(runs, by).withColumn("_g", group_code(*by)).withColumn(
         "_first_draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(DRAWS_PER_TASK)))
     )
-    blocks = blocks.repartition(*by, "chunk", "_first_draw")
+    key = [*by, "_first_draw"]
+    ordered = blocks.repartition(4 * parallel_tasks(runs.sparkSession), *key).sortWithinPartitions(*key, "chunk")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in runs.select(*by).schema)
     kept = [*by, "n_orderings", "n_seeds", "best", "worst"]
     kept_schema = f"{kinds}, n_orderings bigint, n_seeds bigint, best double, worst double"
 
-    def sums_of(row) -> np.ndarray:
-        numbers = np.arange(row["_first_draw"], min(row["_first_draw"] + DRAWS_PER_TASK, draws), dtype=np.int64)
-        return _shuffled_sums(row["rows"], int(row["chunk"]) * SEEDS_PER_TASK, int(row["n_seeds"]), int(row["_g"]), numbers)
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def block_row(head: dict, sums: np.ndarray) -> dict:
+        means = sums / head["n_seeds"]
+        hi, lo = means.max(axis=1), means.min(axis=1)
+        usable = hi != 0
+        ratio = (hi[usable] - lo[usable]) / hi[usable]
+        best, worst = head["best"], head["worst"]
+        reached = int((ratio >= (best - worst) / best - TIE_SLACK).sum()) if best else 0
+        return {**{c: head[c] for c in kept}, "s": float(ratio.sum()), "a": reached, "b": int((hi - lo >= best - worst - TIE_SLACK).sum())}
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        head, sums, done = None, None, []
         for batch in batches:
             for row in batch.to_dict("records"):
-                sums = sums_of(row)
-                numbers = row["_first_draw"] + np.arange(len(sums))
-                yield pd.DataFrame({**{c: row[c] for c in kept}, "draw": numbers, "sums": list(sums)})
-
-    pieces = blocks.mapInPandas(partial, f"{kept_schema}, draw bigint, sums array<double>")
-    means = pieces.select(*kept, "draw", F.posexplode("sums").alias("place", "part")).groupBy(
-        *kept, "draw", "place"
-    ).agg((F.sum("part") / F.col("n_seeds")).alias("m"))
-    spread = means.groupBy(*kept, "draw").agg(F.max("m").alias("hi"), F.min("m").alias("lo"))
-    total = spread.groupBy(*kept).agg(
-        F.sum((F.col("hi") - F.col("lo")) / F.col("hi")).alias("s"),
-        F.count_if((F.col("hi") - F.col("lo")) / F.col("hi") >= osi_expr("best", "worst", False) - TIE_SLACK).alias("a"),
-        F.count_if(F.col("hi") - F.col("lo") >= F.col("best") - F.col("worst") - TIE_SLACK).alias("b"),
+                numbers = np.arange(row["_first_draw"], min(row["_first_draw"] + DRAWS_PER_TASK, draws), dtype=np.int64)
+                part = _shuffled_sums(row["rows"], int(row["chunk"]) * SEEDS_PER_TASK, int(row["n_seeds"]), int(row["_g"]), numbers)
+                if head is not None and all(row[c] == head[c] for c in key):
+                    sums += part
+                    continue
+                if head is not None:
+                    done.append(block_row(head, sums))
+                head, sums = row, part
+            if done:
+                yield pd.DataFrame(done)
+                done = []
+        if head is not None:
+            yield pd.DataFrame([block_row(head, sums)])
+
+    total = ordered.mapInPandas(add_up, f"{kept_schema}, s double, a bigint, b bigint").groupBy(*kept).agg(
+        F.sum("s").alias("s"), F.sum("a").alias("a"), F.sum("b").alias("b")
     )
     return total.select(
         *[c for c in by if c != "_all"],
