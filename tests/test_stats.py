@@ -177,3 +177,47 @@ def test_tails_of_large_groups_converge():
 
     assert d._beta_tail(5e6, 5e6, 0.5) == pytest.approx(0.5, abs=1e-6)
     assert d._gamma_tail(4e6, 4e6) == pytest.approx(0.5, abs=1e-3)
+
+
+def _exact(values, p):
+    values = sorted(values)
+    at = (len(values) - 1) * p
+    low = int(at)
+    return values[low] + (values[min(low + 1, len(values) - 1)] - values[low]) * (at - low)
+
+
+@pytest.mark.parametrize("in_bracket", [1_000_000, 50])
+def test_quantiles_equal_sorting(spark, monkeypatch, in_bracket):
+    """Also with brackets so large that they are cut again, with ties, a hot value and gaps."""
+    from tidyorder.functions import ordering
+
+    monkeypatch.setattr(ordering, "_IN_BRACKET", in_bracket)
+    if in_bracket == 50:
+        monkeypatch.setattr(ordering, "_ACCURACY", 30)
+    rng = np.random.default_rng(8)
+    rows = [
+        (int(g), float(rng.normal()), None if k % 7 == 0 else float(1.7e9 + k), 5.0 if k % 3 else float(k), float(10.0 ** rng.integers(-300, 300)) * (-1) ** k)
+        for g in range(2) for k in range(1200)
+    ]
+    rows.append((0, None, 0.0, None, None))
+    df = spark.createDataFrame(rows, "fold int, a double, b double, c double, d double").repartition(5)
+    probs = [0.0, 0.05, 0.25, 0.5, 0.95, 1.0]
+    for by in ([], ["fold"], ["g"]):
+        frame = df.withColumnRenamed("fold", "g") if by == ["g"] else df
+        for r in quantiles(frame, ["a", "b", "c", "d"], probs, by).collect():
+            for j, c in enumerate("abcd", start=1):
+                values = [x[j] for x in rows if x[j] is not None and (not by or x[0] == r[by[0]])]
+                for q, p in zip(r[f"q_{c}"], probs):
+                    assert q == pytest.approx(_exact(values, p), rel=1e-12)
+    assert quantiles(df.where("a is null").drop("b"), ["a"], [0.5]).first()["q_a"] is None
+    assert quantiles(df.where("false"), ["a"], [0.5]).first()["q_a"] is None
+
+
+def test_times_beside_a_zero_are_spread(spark):
+    """A million-fold gap between one value and the rest leaves no bucket with them all."""
+    from tidyorder.functions.ordering import _bucketed
+
+    times = spark.range(40_000).select((F.col("id") + 1_700_000_000).cast("double").alias("v"))
+    for odd in (0.0, -3.0, 1e300, 1_600_000_000.0):
+        most = _bucketed(times.union(spark.createDataFrame([(odd,)], "v double")), "v").groupBy("_bucket").count().agg(F.max("count")).first()[0]
+        assert most <= 400

@@ -69,30 +69,36 @@ def _grow_tree(rows: np.ndarray, depth_limit: int, tree: int, seed: int) -> list
 
 
 def _tree_samples(scaled: DataFrame, features: list[str], seed: int, trees: int, tree_rows: int) -> DataFrame:
-    """(tree, features...) of the rows of each tree. One pass keeps hashes below a bound that
-    twice the wanted rows are expected to pass, and only those are ranked; should a tree
-    fall short, the bound is doubled."""
+    """(tree, features...) of the rows of each tree: consecutive stretches of `tree_rows` rows in
+    the order of one hash, and once the table is used up, of the next hash. A row is hashed once
+    per such round, which is once for any table of trees x tree_rows rows; only hashes below a
+    bound that half more rows than wanted are expected to pass are ranked (at most a few tens of
+    thousands of rows), and should a round fall short, the bound is doubled."""
     n = scaled.count()
-    wanted, share = min(tree_rows, n), 2 * tree_rows / max(n, 1)
-    pick = Window.partitionBy("tree").orderBy("_h", "row_id")
+    wanted = min(tree_rows, n)
+    per_round = max(1, n // max(wanted, 1))
+    rounds = -(-trees // per_round)
+    share = 1.5 * min(per_round, trees) * wanted / max(n, 1) + 64 / max(n, 1)
+    order = Window.partitionBy("_round").orderBy("_h", "row_id")
     while True:
-        draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(F.lit(seed), t, F.col("row_id")).alias("_h")))
+        rows = scaled.select("row_id", *features, F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("_round"))
+        rows = rows.withColumn("_h", F.xxhash64(F.lit(seed), "_round", "row_id"))
         if share < 1:
-            bound = int(share * 2**64) - 2**63
-            draws = F.filter(draws, lambda x: x["_h"] < bound)
-        low = scaled.withColumn("_draws", draws).where(F.size("_draws") > 0)
-        low = materialize(low.select("row_id", *features, F.explode("_draws").alias("_draw")).select("row_id", *features, "_draw.*"))
-        enough = low.groupBy("tree").count().where(F.col("count") >= wanted).count()
-        if share >= 1 or enough == trees:
-            return low.withColumn("_rn", F.row_number().over(pick)).where(F.col("_rn") <= tree_rows).drop("_rn", "_h")
+            rows = rows.where(F.col("_h") < int(share * 2**64) - 2**63)
+        ranked = materialize(rows.withColumn("_rank", F.row_number().over(order) - 1))
+        used = F.col("_rank") < min(per_round, trees) * wanted
+        least = ranked.where(used).groupBy("_round").count().agg(F.min("count"), F.count("*")).first()
+        if share >= 1 or (least[1] == rounds and least[0] == min(per_round, trees) * wanted):
+            tree = F.col("_round") * per_round + F.expr(f"_rank div {max(wanted, 1)}")
+            return ranked.where(used).withColumn("tree", tree.cast("int")).where(F.col("tree") < trees).select("tree", "row_id", *features)
         share *= 2
 
 
 def isolation_scores(scaled: DataFrame, seed: int, trees: int = TREES, tree_rows: int = TREE_ROWS) -> DataFrame:
     """(row_id, score): 2^(-mean path / expected path); larger means more isolated.
 
-    Each tree sees the `tree_rows` rows of the whole table (all rows of a smaller one) with
-    the smallest hashes for that tree. Trees are grown one per task; every row is scored.
+    Each tree sees `tree_rows` rows of the whole table (all rows of a smaller one), drawn
+    without replacement. Trees are grown one per task; every row is scored.
     """
     features = [c for c in scaled.columns if c != "row_id"]
     sample = _tree_samples(scaled, features, seed, trees, tree_rows)
