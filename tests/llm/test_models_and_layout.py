@@ -218,6 +218,39 @@ def test_surrogates_keep_kind_format_and_coreference(spark):
     assert replace_private(docs.limit(0)).count() == 0
 
 
+def test_surrogates_of_whole_names(spark):
+    """Any number of words, hyphens, apostrophes, initials, capitals, unknown gender, later mentions."""
+    rows = {
+        1: ("Mr John Fitzgerald Kennedy. Kennedy said Kennedy's idea; JOHN agreed.", r"Mr (\w+) (\w+) (\w+)\. (\w+) said (\w+)'s idea; ([A-Z]+) agreed\."),
+        2: ("Mr O'Brien met Mrs Smith-Jones, and MR JOHN SMITH met Mr J. Smith.", r"Mr (\w+) met Mrs (\w+), and MR ([A-Z]+) ([A-Z]+) met Mr J\. (\w+)\."),
+        3: ("Dr Anna Schmidt and Prof. Schmidt; Anna left. Kennedy stays.", r"Dr (\w+) (\w+) and Prof\. (\w+); (\w+) left\. Kennedy stays\."),
+        4: ("Kennedy and Smith without a title, call 555.123.4567 or (555) 123-4567, not 3.14159265358", r"Kennedy and Smith without a title, call (\d{3}\.\d{3}\.\d{4}) or \((\d{3})\) (\d{3}-\d{4}), not 3\.14159265358"),
+    }
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in rows.items()], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in replace_private(docs).collect()}
+    parts = {i: re.fullmatch(p, got[i]) for i, (_, p) in rows.items()}
+    assert all(parts.values()), got
+    one, two, three, four = (parts[i] for i in (1, 2, 3, 4))
+    assert one[3] == one[4] == one[5] and one[6] == one[1].upper() and len({one[1], one[2], one[3]}) == 3
+    assert two[5].upper() == two[4] and len({two[1], two[2], two[4]}) == 3
+    assert three[2] == three[3] and three[1] == three[4]
+    assert four[1].replace(".", "") == four[2] + four[3].replace("-", "") != "5551234567"
+    for name in ("John", "Fitzgerald", "O'Brien", "Jones", "SMITH", "Anna", "Schmidt"):
+        assert not any(name in got[i] for i in (1, 2, 3))
+
+
+def test_surrogates_of_long_and_deep_texts(spark):
+    """Hosts of 100,000 labels, 30,000 matches, and a megabyte of one character."""
+    deep, many = "a@" + "a." * 100_000 + "1", " ".join(f"10.{k // 62500 % 250}.{k // 250 % 250}.{k % 250}" for k in range(30_000))
+    texts = [deep, many] + [c * 1_000_000 for c in ("a", "1", "@", ".", "(", "A", "+1 ")] + ["Mr " + "Ab-" * 30_000, "Mr" + " Ab" * 30_000, "a@b" * 30_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in replace_private(docs).collect()}
+    assert len(got) == len(texts) and got[1].n_entities == 30_000
+    mine = got[1].text.split(" ")
+    assert len(set(mine)) == len(set(many.split(" "))) == 30_000 and not set(mine) & set(many.split(" "))
+    assert got[2].text == texts[2] and got[4].text == texts[4]
+
+
 def test_surrogates_stay_distinct_where_draws_clash(spark):
     canon = [("surname", f"n{k}") for k in range(3000)] + [("ip", f"1.2.3.{k}") for k in range(200)] + [("email", f"{c}@a.de") for c in "abcdefghijklmnopqrstuvwxyz"]
     entities = spark.createDataFrame(canon, "kind string, canon string")

@@ -13,12 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidyorder.llm.common import stash, text_key
+from tidyorder.llm.common import null_safe_join, stash, text_key
 
 # Forms of address by gender.
 TITLES = {
     "m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος"],
     "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mademoiselle", "Señora", "Sra", "Госпожа", "Κυρία"],
+    "n": ["Dr", "Prof"],
 }
 # Parts that names are made of, by script.
 SYLLABLES = {
@@ -27,22 +28,27 @@ SYLLABLES = {
     "greek": "βα γε δι ζω θα κι λα μα νι ξε πα ρω σα τι φα χρι".split(),
 }
 ENDINGS = {
-    "latin": {"given_m": ["o", "an", "ek", "us"], "given_f": ["a", "ia", "ine", "elle"], "surname": ["sen", "berg", "ling", "mont"]},
-    "cyrillic": {"given_m": ["н", "р", "слав", "мир"], "given_f": ["на", "ра", "слава", "мира"], "surname": ["енко", "ич", "юк", "ых"]},
-    "greek": {"given_m": ["ος", "ης", "ας", "ων"], "given_f": ["α", "η", "ια", "ω"], "surname": ["ίδη", "ου", "άκη", "έα"]},
+    "latin": {"given_m": ["o", "an", "ek", "us"], "given_f": ["a", "ia", "ine", "elle"], "given_n": ["i", "ey", "is", "on"], "surname": ["sen", "berg", "ling", "mont"]},
+    "cyrillic": {"given_m": ["н", "р", "слав", "мир"], "given_f": ["на", "ра", "слава", "мира"], "given_n": ["я", "и", "ис", "ин"], "surname": ["енко", "ич", "юк", "ых"]},
+    "greek": {"given_m": ["ος", "ης", "ας", "ων"], "given_f": ["α", "η", "ια", "ω"], "given_n": ["ις", "ω", "ι", "ους"], "surname": ["ίδη", "ου", "άκη", "έα"]},
 }
 ALPHABETS = {"[0-9]": "0123456789", "[a-z]": "abcdefghijklmnopqrstuvwxyz", r"\p{IsCyrillic}": "абвгдежзиклмнопрстуфхцчшэюя", r"\p{IsGreek}": "αβγδεζηθικλμνξοπρστυφχψω", r"\p{L}": "abcdefghijklmnopqrstuvwxyz"}
 
 _EDGE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
-_TITLE = "|".join(t for ts in TITLES.values() for t in ts)
+_TITLE = "|".join(t for ts in TITLES.values() for t in dict.fromkeys([*ts, *[x.upper() for x in ts]]))
+# A word of a name; repeats of groups are bounded, since Java matches them by recursion.
+_WORD = r"\p{Lu}\p{L}*+(?:['’-]\p{Lu}\p{L}*+){0,4}"
 PATTERN = "|".join([
-    r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
+    r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+){0,126}\.\p{L}{2,}",
     _EDGE + r"[0-9a-fA-F]{32,64}" + _END,
     r"(?<![\p{L}\p{N}.])\d{1,3}(?:\.\d{1,3}){3}(?![\p{L}\p{N}]|\.\d)",
     _EDGE + r"\d{13,19}" + _END,
     _EDGE + r"\+?(?:\d|\(\d{2,4}\))(?:[ .()-]{0,2}\d){7,18}" + _END,
-    _EDGE + rf"(?:{_TITLE})\.?(?: \p{{Lu}}\p{{L}}+){{1,2}}",
+    _EDGE + rf"(?:{_TITLE})\.?(?: (?:\p{{Lu}}\.|{_WORD})){{1,12}}",
 ])
+#: For documents with a title: a capitalised word may also repeat a name found elsewhere in them.
+NAMED = PATTERN + "|" + _EDGE + _WORD + _END
+TITLED = _EDGE + rf"(?:{_TITLE})\.? \p{{Lu}}"
 #: A document without a match of this has no entity.
 HINT = rf"[0-9@]|(?:{_TITLE})\.? "
 
@@ -67,9 +73,10 @@ _KIND = f"""CASE
   WHEN m RLIKE '^[0-9a-fA-F]{{32,}}$' THEN 'token'
   WHEN m RLIKE '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' THEN 'ssn'
   WHEN m RLIKE '^[0-9 -]+$' AND length(d) BETWEEN 13 AND 19 AND ({_luhn("d")}) % 10 = 0 THEN 'card'
-  WHEN m RLIKE '[+() -]' AND m RLIKE '^[0-9+() .-]+$' AND length(d) BETWEEN 9 AND 15 THEN 'phone'
+  WHEN (m RLIKE '[+() -]' OR m RLIKE '^[0-9]{{1,4}}([.][0-9]{{2,4}}){{2,4}}$') AND m RLIKE '^[0-9+() .-]+$' AND length(d) BETWEEN 9 AND 15 THEN 'phone'
   WHEN m RLIKE '^[0-9+() .-]+$' THEN 'none'
-  ELSE 'person' END"""
+  WHEN m RLIKE {_sql(f"^(?:{_TITLE})[.]? ")} THEN 'person'
+  ELSE 'bare' END"""
 
 
 def _drawn(x: str, hexed: str, classes: dict[str, str]) -> str:
@@ -114,7 +121,7 @@ def _with_surrogate(entities: DataFrame, key: str) -> DataFrame:
       WHEN 'ip' THEN concat({octets})
       WHEN 'token' THEN substr(h, 1, length(canon))
       WHEN 'card' THEN concat(substr(body, 1, length(body) - 1), cast((10 - ({_luhn("body")}) % 10) % 10 as string))
-      WHEN 'given_m' THEN {_name("given_m")} WHEN 'given_f' THEN {_name("given_f")} WHEN 'surname' THEN {_name("surname")}
+      WHEN 'given_m' THEN {_name("given_m")} WHEN 'given_f' THEN {_name("given_f")} WHEN 'given_n' THEN {_name("given_n")} WHEN 'surname' THEN {_name("surname")}
       ELSE concat(if(canon LIKE '0%', '0', cast(1 + cast(conv(substr(h, 240, 4), 16, 10) as int) % 9 as string)), substr({any_digit}, 2)) END"""
     return rows.withColumn("s", F.expr(s)).select(*entities.columns, "s")
 
@@ -137,11 +144,14 @@ def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
 
 
 def _parts() -> Column:
-    """Parts of a match: kind, canonical form, surface. A name has one part per word."""
-    gender = F.when(F.col("m").rlike(rf"^(?:{'|'.join(TITLES['f'])})\.? "), "given_f").otherwise("given_m")
+    """Parts of a match: kind, canonical form, surface. A name has one part per word; titles and
+    initials stay."""
+    gender = F.lit("given_m")
+    for g in ("f", "n"):
+        gender = F.when(F.col("m").rlike(rf"^(?i:{'|'.join(TITLES[g])})\.? "), f"given_{g}").otherwise(gender)
     words = F.split("m", " ")
-    kind = lambda i: F.when(i == 0, "none").when(i == F.size(words) - 1, "surname").otherwise(gender)
-    name = F.transform(words, lambda w, i: F.struct(kind(i).alias("kind"), F.lower(w).alias("canon"), w.alias("surface")))
+    kind = lambda w, i: F.when((i == 0) | w.endswith("."), "none").when(i == F.size(words) - 1, "surname").otherwise(gender)
+    name = F.transform(words, lambda w, i: F.struct(kind(w, i).alias("kind"), F.lower(w).alias("canon"), w.alias("surface")))
     canon = F.expr("CASE kind WHEN 'phone' THEN if(length(d) > 10, right(d, 10), d) WHEN 'card' THEN d WHEN 'ssn' THEN d ELSE lower(m) END")
     return F.when(F.col("kind") == "person", name).otherwise(F.array(F.struct(F.col("kind"), canon.alias("canon"), F.col("m").alias("surface"))))
 
@@ -153,39 +163,45 @@ def _rendered() -> str:
     return f"""CASE WHEN s IS NULL THEN surface
       WHEN kind IN ('phone', 'card', 'ssn') THEN {laid.replace("filled", digits)}
       WHEN upper(surface) = surface AND lower(surface) <> surface THEN upper(s)
-      WHEN kind IN ('given_m', 'given_f', 'surname') THEN initcap(s)
+      WHEN kind IN ('given_m', 'given_f', 'given_n', 'surname') THEN initcap(s)
       ELSE s END"""
 
 
 def replace_private(docs: DataFrame, key: str = "surrogate-key", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, tk, n_entities, kinds, text with surrogates.
 
-    Kinds: email, ip, token, ssn, card (valid check digit), phone, given_m, given_f, surname
-    (after a form of address, which stays). Null text stays null and has no entities; equal
+    Kinds: email, ip, token, ssn, card (valid check digit), phone, given_m, given_f, given_n
+    (gender unknown) and surname (after a form of address, which stays, and wherever the document
+    repeats the word with a capital). Null text stays null and has no entities; equal
     rows get equal results; other columns are left out. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("tk"), F.col(text_col).alias("text"))
-    found = rows.filter(F.col("text").rlike(HINT)).withColumn("ms", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
+    titled = F.col("text").rlike(TITLED)
+    matches = F.when(titled, F.regexp_extract_all("text", F.lit(NAMED), F.lit(0))).otherwise(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
+    found = rows.filter(F.col("text").rlike(HINT)).withColumn("ms", matches)
     found = found.select("doc_id", "tk", F.posexplode("ms").alias("at", "m")).withColumn("d", F.expr(_digits("m"))).withColumn("kind", F.expr(_KIND))
     parts = stash(found.select("doc_id", "tk", "at", F.posexplode(_parts()).alias("sub", "part")).select("doc_id", "tk", "at", "sub", "part.*"), "private-parts")
+    # a bare word is a name where its document has that name after a title
+    names = parts.filter(F.col("kind").isin("given_m", "given_f", "given_n", "surname")).groupBy("doc_id", "tk", "canon").agg(F.min("kind").alias("known"))
+    bare = null_safe_join(parts.filter("kind = 'bare'"), names, ["doc_id", "tk", "canon"], "left").withColumn("kind", F.coalesce("known", F.lit("none"))).drop("known")
+    parts = parts.filter("kind <> 'bare'").unionByName(bare)
     entities = stash(parts.filter("kind <> 'none'").select("kind", "canon").distinct(), "private-entities")
     named = surrogate_table(entities, key)
     placed = parts.join(named, ["kind", "canon"], "left").withColumn("sd", F.expr(_digits("surface"))).withColumn("new", F.expr(_rendered()))
-    item = F.struct("at", "sub", "new", "kind")
-    by_doc = placed.groupBy("doc_id", "tk").agg(F.sort_array(F.collect_set(item)).alias("items"))
-    by_doc = by_doc.select(F.col("doc_id").alias("__id"), F.col("tk").alias("__tk"), "items")
+    # equal rows meet here; the parts of a match, then the matches of a text, in their order
+    match = placed.groupBy("doc_id", "tk", "at").agg(F.sort_array(F.collect_set(F.struct("sub", "new", "kind"))).alias("ps"))
+    match = match.select("doc_id", "tk", F.struct("at", F.array_join("ps.new", " ").alias("new"), F.col("ps.kind").alias("kinds")).alias("item"))
+    by_doc = match.groupBy(F.col("doc_id").alias("__id"), F.col("tk").alias("__tk")).agg(F.sort_array(F.collect_list("item")).alias("items"))
+    # columns of their own: a field taken inside the function below would be copied for each match
+    by_doc = by_doc.select("__id", "__tk", F.col("items.new").alias("news"), F.flatten("items.kinds").alias("kinds"))
     joined = rows.join(by_doc, rows["doc_id"].eqNullSafe(by_doc["__id"]) & (rows["tk"] == by_doc["__tk"]), "left")
-    # pieces between matches, then the new parts of each match joined by the spaces it had
-    pieces = F.split("text", PATTERN, -1)
-    text = F.concat(
-        F.element_at("pieces", 1),
-        F.array_join(F.transform(F.sequence(F.lit(0), F.size("pieces") - 2), lambda i: F.concat(
-            F.array_join(F.transform(F.filter("items", lambda x: x["at"] == i), lambda x: x["new"]), " "), F.element_at("pieces", (i + 2).cast("int")),
-        )), ""),
-    )
-    done = joined.withColumn("pieces", F.when(F.col("items").isNotNull(), pieces))
-    real = F.filter(F.coalesce("items", F.array().cast("array<struct<at:int,sub:int,new:string,kind:string>>")), lambda x: x["kind"] != "none")
+    # pieces between matches, with the new text of each match after its piece
+    pieces = F.when(titled, F.split("text", NAMED, -1)).otherwise(F.split("text", PATTERN, -1))
+    text = F.array_join(F.transform("pieces", lambda p, i: F.concat(p, F.coalesce(F.get("news", i), F.lit("")))), "")
+    done = joined.withColumn("pieces", F.when(F.col("news").isNotNull(), pieces))
+    kinds = F.coalesce("kinds", F.array().cast("array<string>"))
+    real = F.filter(kinds, lambda k: k != "none")
     return done.select(
-        "doc_id", "tk", F.size(real).cast("long").alias("n_entities"), F.array_sort(F.array_distinct(F.transform(real, lambda x: x["kind"]))).alias("kinds"),
-        F.when(F.col("items").isNull(), F.col("text")).otherwise(text).alias("text"),
+        "doc_id", "tk", F.size(real).cast("long").alias("n_entities"), F.array_sort(F.array_distinct(real)).alias("kinds"),
+        F.when(F.col("news").isNull(), F.col("text")).otherwise(text).alias("text"),
     )
