@@ -22,7 +22,7 @@ def folds_of(df):
     return df.withColumn("fold", F.pmod(F.xxhash64("row_id"), F.lit(5)).cast("int")).withColumn("only", F.lit(-1))
 
 
-def fitted(rows, trees=8, depth=5, weights=None, block_rows=ff.BLOCK_ROWS):
+def fitted(rows, trees=8, depth=3, weights=None, block_rows=ff.BLOCK_ROWS):
     layout = ff.lay_out(rows, ["x_a", "x_b", "x_c", "c_k"], np.zeros((5, 4)), 3, block_rows)
     grown = ff.grow(layout, 3, trees, depth, weights)
     return grown, {r.row_id: r.p1 for r in ff.held_out(layout, grown).collect()}
@@ -42,7 +42,7 @@ def test_a_fold_never_sees_its_own_labels(rows):
 
 
 def test_layout_does_not_matter(rows):
-    assert fitted(rows, 3, 4)[1] == fitted(rows.repartition(13, "x_a"), 3, 4, block_rows=100)[1]
+    assert fitted(rows, 3, 2)[1] == fitted(rows.repartition(13, "x_a"), 3, 2, block_rows=400)[1]
 
 
 def test_trees_follow_their_counts(rows):
@@ -72,9 +72,9 @@ def test_draws_are_poisson():
 
 
 def test_as_good_as_the_library_forest(rows):
-    _, p = fitted(rows, 60, 8)
+    _, p = fitted(rows, 60, 6)
     train = rows.where("fold <> 0")
-    model = forest(3, 60, 8).fit(fixed_layout(assemble(train.drop("fold", "only"))))
+    model = forest(3, 60, 6).fit(fixed_layout(assemble(train.drop("fold", "only"))))
     theirs = {r.row_id: r.p1 for r in probabilities(model, assemble(rows.where("fold = 0").drop("fold", "only"))).collect()}
     label = {r.row_id: r.label for r in rows.collect()}
 
@@ -93,9 +93,9 @@ def test_class_weights_raise_the_rare_class(rows):
 
 def test_empty_training_part_and_one_class(spark):
     one = spark.createDataFrame([(i, 0, float(i), 0.0, 1.0, 0) for i in range(30)], "row_id long, label int, x_a double, x_b double, x_c double, c_k int")
-    assert set(fitted(folds_of(one), 3, 3)[1].values()) == {0.0}
+    assert set(fitted(folds_of(one), 3, 1)[1].values()) == {0.0}
     same = folds_of(one).withColumn("fold", F.lit(1))
-    assert set(fitted(same, 3, 3)[1].values()) == {0.5}  # nothing was learnt
+    assert set(fitted(same, 3, 1)[1].values()) == {0.5}  # nothing was learnt
     with pytest.raises(ValueError, match="unknown mode"):
         labels.out_of_fold(one, 1, "other")
 
@@ -111,7 +111,7 @@ def test_synthetic_rows_by_fold_equal_one_fold_at_a_time(spark, nominal):
     for r in balance.smote_by_fold(df, fills, 7, 5).collect():
         got.setdefault(r.only, []).append((r.label, *(round(r[c], 9) for c in features)))
     assert set(got) == set(range(5))
-    for fold in range(5):
+    for fold in (0, 3):
         train = df.where(F.col("fold") != fold).drop("fold")
         one = balance.smote(impute.apply_fill(train, impute.fit_fill(train)), 7).where("origin = 'syn'").collect()
         assert sorted(got[fold]) == sorted((r.label, *(round(r[c], 9) for c in features)) for r in one)

@@ -254,13 +254,11 @@ def grow(layout: Layout, seed: int, trees: int, depth: int, weights: np.ndarray
     context = layout.blocks.sparkSession.sparkContext
     tasks = parallel_tasks(layout.blocks.sparkSession)
     fills, edges = layout.fills, layout.edges
-    live = np.ones((models, trees), bool)
     for level in range(depth):
         width, base = 2**level, 2**level - 1
         # nodes of this level that their parent's split made
         open_nodes = np.ones((models, trees, 1), bool) if level == 0 else np.repeat(grown.feature[:, :, (base - 1) // 2 : base] >= 0, 2, axis=2)
-        live = open_nodes.any(axis=2)
-        if not live.any():
+        if not open_nodes.any():
             break
         known = context.broadcast((grown.feature[:, :, :base], grown.cut[:, :, :base], open_nodes))
 
