@@ -45,6 +45,32 @@ def test_planted_repeats(spark, hot):
     assert suffix_dedup.repeated_spans(docs.limit(0)).count() == 0
 
 
+def test_colliding_grams_lose_nothing(spark, monkeypatch):
+    """Texts whose linear hashes are all equal, as a crafted pair of texts can make them."""
+    import numpy as np
+
+    values = suffix_dedup._VALUE.copy()
+    values[ord("b")] = values[ord("a")]
+    monkeypatch.setattr(suffix_dedup, "_VALUE", values)
+    rng = random.Random(3)
+    one = "".join(rng.choice("ab") if k % 9 == 0 else rng.choice("cdefgh ") for k in range(320))
+    two = one.translate(str.maketrans("ab", "ba"))
+    texts = [one.encode(), two.encode(), (one[:230] + two[230:]).encode()]
+    ends = np.cumsum([len(t) for t in texts])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    start, count, offset, bucket, digest = suffix_dedup.anchors(data, ends, 200, 32)
+    order = np.argsort(bucket, kind="stable")
+    start, count, offset, bucket = start[order], count[order], offset[order], bucket[order]
+    assert len(np.unique(bucket)) * 2 < len(bucket) + 2 and len(np.unique(digest, axis=0)) == len(digest)
+    base = np.concatenate([[0], np.cumsum(count + 199)])
+    spans = np.concatenate([data[s : s + n + 199] for s, n in zip(start, count)])
+    hit = suffix_dedup.shared_positions(spans, base, bucket, offset, 200)
+    found = {int(s + k) for s, n, b in zip(start, count, base) for k in range(n) if hit[b + k]}
+    seen = Counter(bytes(data[k : k + 200]) for e in ends for k in range(e - 320, e - 199))
+    assert found == {k for e in ends for k in range(e - 320, e - 199) if seen[bytes(data[k : k + 200])] > 1}
+    assert any(k < 320 for k in found)
+
+
 def test_chunks_of_a_long_text(spark, monkeypatch):
     rng = random.Random(9)
     long = words(rng, 3000)

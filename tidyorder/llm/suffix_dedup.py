@@ -6,13 +6,18 @@ hashed q-gram, the leftmost of ties. Equal windows choose the same q-gram at the
 so only positions in one q-gram bucket need to be told apart:
 
 1. q-gram buckets. A position alone in its bucket has no repeated window.
-2. Refinement by the identifier of the whole span of a position's windows, from the first byte
-   of the first to the last byte of the last. Two equal spans: all their windows are repeated.
-3. What is left in shared buckets is refined by the identifiers of single windows, at each
-   offset. One span of each kind takes part, so copies of a passage cost nothing more.
+2. Spans. A position's windows share a span, from the first byte of the first to the last byte
+   of the last. Equal spans, known by 128 bits of BLAKE2b, repeat all their windows; one span of
+   each kind goes on, so copies of a passage cost nothing more.
+3. Bucket-pointer refinement. Spans that share a q-gram bucket come to one task. Their byte
+   positions start in buckets of (q-gram bucket, distance from the q-gram, two bytes) and are
+   sorted again and again by (own bucket, bucket of the position h bytes on); the new bucket
+   numbers are written back and are what the next round reads at 2h bytes. Positions alone in
+   their bucket leave. After `length` bytes a bucket holds equal windows: no hash decides here.
 
 Only numbers are shuffled in 1 and 2, and the spans of step 3. Counts are combined before each
-shuffle; a bucket with more than HOT spans is counted by windows instead of being held.
+shuffle; a bucket with more than HOT spans is counted by the 128-bit digests of its windows
+instead of being held.
 """
 
 from __future__ import annotations
@@ -32,6 +37,8 @@ LENGTH, GRAM = 200, 32
 #: Spans of one bucket that a task holds at once.
 HOT = 20_000
 _CHUNK = 1 << 20
+#: Byte positions that are refined together, unless one bucket has more.
+_PIECE = 1 << 19
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -69,8 +76,12 @@ class _Hashes:
     def fixed(self, n: int) -> np.ndarray:
         return (self.sums[n:] - self.sums[:-n]) * self.inverse[: len(self.sums) - n]
 
-    def spans(self, start: np.ndarray, n: np.ndarray | int) -> np.ndarray:
-        return (self.sums[start + n] - self.sums[start]) * self.inverse[start]
+
+def _digests(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """128 bits of BLAKE2b of each stretch, as rows of two numbers."""
+    view, make = memoryview(data), hashlib.blake2b
+    raw = b"".join([make(view[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), stop.tolist())])
+    return np.frombuffer(raw, np.int64).reshape(-1, 2)
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -86,7 +97,7 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 def anchors(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """Runs of windows filed under one position, for texts that lie in `data` up to `ends`:
     (start of the first window, number of windows, offset of the position in the first window,
-    bucket of its q-gram, identifier of the span)."""
+    bucket of its q-gram, digest of the span)."""
     found = []
     for at in range(0, len(data) - length + 1, _CHUNK):
         part = data[at : at + _CHUNK + length - 1]
@@ -106,10 +117,9 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple
         count = np.diff(np.append(first, len(starts)))
         start, place = starts[first], place[first]
         offset = place - start
-        span = _mixed(hashes.spans(start, count + length - 1)) + _mixed((count * 1024 + offset).astype(np.uint64))
-        found.append((at + start, count, offset, grams[place], span))
+        found.append((at + start, count, offset, grams[place], _digests(part, start, start + count + length - 1)))
     if not found:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return (*[np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64)], np.zeros((0, 2), np.int64))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -123,8 +133,8 @@ def _anchor_rows(length: int, gram: int):
             base = np.concatenate([[0], ends[:-1]])
             rid = batch.column(0).to_numpy()[owner]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rid), pa.array(start - base[owner]), pa.array(count.astype(np.int32)), pa.array(offset.astype(np.int32)), pa.array(bucket.view(np.int64)), pa.array(span.view(np.int64))],
-                ["rid", "start", "n", "offset", "bucket", "span"],
+                [pa.array(rid), pa.array(start - base[owner]), pa.array(count.astype(np.int32)), pa.array(offset.astype(np.int32)), pa.array(bucket.view(np.int64)), pa.array(span[:, 0]), pa.array(span[:, 1])],
+                ["rid", "start", "n", "offset", "bucket", "high", "low"],
             )
 
     return stream
@@ -147,17 +157,60 @@ def _cut_spans(length: int):
     return stream
 
 
-def _window_ids(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Identifier of every window of the spans (with its bucket and offset), and its row."""
+def _places(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Bytes of the spans one after another; where each span starts; by window, its row and its
+    number in the row."""
     n = batch.column("n").to_numpy().astype(np.int64)
     texts = batch.column("b").to_pylist()
-    base = np.concatenate([[0], np.cumsum([len(t) for t in texts])[:-1]])
-    hashes = _Hashes(np.frombuffer(b"".join(texts), np.uint8))
+    base = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     row = np.repeat(np.arange(len(n)), n)
-    inner = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    offset = batch.column("offset").to_numpy()[row] - inner
-    bucket = batch.column("bucket").to_numpy().view(np.uint64)[row]
-    return _mixed(_mixed(hashes.spans(base[row] + inner, length)) + _mixed(bucket ^ _mixed(offset.astype(np.uint64)))), row
+    return np.frombuffer(b"".join(texts), np.uint8), base, row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _buckets(total: int, at: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Numbers for `total` positions: equal for those of `at` with equal keys, -1 for positions
+    that are alone with their key or not in `at`."""
+    out = np.full(total, -1, np.int64)
+    if not len(at):
+        return out
+    bits = len(at).bit_length()
+    if int(key.max()) >> (62 - bits):
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+    else:  # key and place in one number: a plain sort
+        key = np.sort(key << bits | np.arange(len(at)))
+        order = key & ((1 << bits) - 1)
+        key >>= bits
+    same = key[1:] == key[:-1]
+    shared = np.zeros(len(key), bool)
+    shared[1:] = same
+    shared[:-1] |= same
+    number = np.concatenate([[0], np.cumsum(~same)])
+    out[at[order[shared]]] = number[shared]
+    return out
+
+
+def shared_positions(data: np.ndarray, base: np.ndarray, bucket: np.ndarray, offset: np.ndarray, length: int) -> np.ndarray:
+    """Flag per byte: the `length` bytes from it lie, at the same distance from the q-gram, in
+    another span of its bucket. Spans lie in `data` from base[k] to base[k + 1], sorted by bucket."""
+    size = np.diff(base)
+    total = len(data)
+    row = np.repeat(np.arange(len(size)), size)
+    inner = np.arange(total) - base[row]
+    left = size[row] - inner
+    away = inner - offset[row] + offset.max()
+    rank = np.concatenate([[0], np.cumsum(bucket[1:] != bucket[:-1])])
+    at, h = np.flatnonzero(left >= 2), 2
+    start = rank[row[at]] * (int(away.max()) + 1) + away[at]
+    name = _buckets(total, at, (start << 16) | (data[at].astype(np.int64) << 8) | data[at + 1])
+    while h < length:
+        step = min(h, length - h)
+        at = np.flatnonzero(name >= 0)
+        at = at[left[at] >= h + step]
+        at = at[name[at + step] >= 0]
+        name = _buckets(total, at, name[at] * total + name[at + step])
+        h += step
+    return name >= 0
 
 
 def _runs(batch: pa.RecordBatch, row: np.ndarray, hit: np.ndarray) -> pa.RecordBatch:
@@ -177,11 +230,19 @@ def _runs(batch: pa.RecordBatch, row: np.ndarray, hit: np.ndarray) -> pa.RecordB
 def _refined(length: int):
     """Streams spans sorted by bucket; whole buckets are refined together."""
 
-    def solved(table: pa.Table) -> pa.RecordBatch:
-        batch = table.combine_chunks().to_batches()[0]
-        ids, row = _window_ids(batch, length)
-        _, back, count = np.unique(ids, return_inverse=True, return_counts=True)
-        return _runs(batch, row, count[back] > 1)
+    def solved(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        whole = table.combine_chunks().to_batches()[0]
+        bucket = whole.column("bucket").to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        before = np.cumsum(whole.column("n").to_numpy().astype(np.int64) + length - 1)[first - 1]
+        before[0] = 0
+        piece = before // _PIECE
+        cuts = [*first[np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]]))].tolist(), whole.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            batch = whole.slice(a, b - a)
+            data, base, row, inner = _places(batch)
+            hit = shared_positions(data, base, bucket[a:b], batch.column("offset").to_numpy().astype(np.int64), length)
+            yield _runs(batch, row, hit[base[row] + inner])
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -192,10 +253,10 @@ def _refined(length: int):
             bucket = now.column("bucket").to_numpy()
             cut = int(np.searchsorted(bucket, bucket[-1], side="left"))
             if cut:
-                yield solved(now.slice(0, cut))
+                yield from solved(now.slice(0, cut))
             held = now.slice(cut)
         if held is not None:
-            yield solved(held)
+            yield from solved(held)
 
     return stream
 
@@ -203,12 +264,11 @@ def _refined(length: int):
 def _windows(length: int):
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, row = _window_ids(batch, length)
-            n = batch.column("n").to_numpy().astype(np.int64)
-            inner = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            data, base, row, inner = _places(batch)
+            ids = _digests(data, base[row] + inner, base[row] + inner + length)
             lone = batch.column("lone").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids.view(np.int64)), pa.array(batch.column("rid").to_numpy()[row]), pa.array(batch.column("start").to_numpy()[row] + inner), pa.array(lone[row])], ["id", "rid", "start", "lone"]
+                [pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array(batch.column("rid").to_numpy()[row]), pa.array(batch.column("start").to_numpy()[row] + inner), pa.array(lone[row])], ["high", "low", "rid", "start", "lone"]
             )
 
     return stream
@@ -216,11 +276,11 @@ def _windows(length: int):
 
 def repeated_windows(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """rid, start, n: runs of n repeated windows from byte `start`. texts: rid (unique), b."""
-    rows = stash(texts.select("rid", "b").mapInArrow(_anchor_rows(length, gram), "rid long, start long, n int, offset int, bucket long, span long"), "anchors")
-    kinds = rows.groupBy("bucket", "span").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "start", "n", "offset")).alias("one"))
+    rows = stash(texts.select("rid", "b").mapInArrow(_anchor_rows(length, gram), "rid long, start long, n int, offset int, bucket long, high long, low long"), "anchors")
+    kinds = rows.groupBy("bucket", "high", "low").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "start", "n", "offset")).alias("one"))
     kinds = stash(kinds, "spans")
     buckets = kinds.groupBy("bucket").agg(F.count("*").alias("spans"), F.min("copies").alias("least")).filter("spans > 1 and least = 1")
-    copied = rows.join(kinds.filter("copies > 1").select("bucket", "span"), ["bucket", "span"], "left_semi").select("rid", "start", "n")
+    copied = rows.join(kinds.filter("copies > 1").select("bucket", "high", "low"), ["bucket", "high", "low"], "left_semi").select("rid", "start", "n")
     wanted = kinds.join(buckets, "bucket").select("one.*", "bucket", "spans", (F.col("copies") == 1).alias("lone"))
     wanted = wanted.groupBy("rid").agg(F.collect_list(F.struct("start", "n", "offset", "bucket", "spans", "lone")).alias("wanted"))
     cut = texts.select("rid", "b").join(wanted, "rid").select("rid", "b", "wanted")
@@ -229,9 +289,9 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, h
     out = copied.unionByName(cold.mapInArrow(_refined(length), "rid long, start long, n int"))
     large = spans.filter(F.col("spans") > hot)
     if not large.isEmpty():
-        windows = large.mapInArrow(_windows(length), "id long, rid long, start long, lone boolean")
-        twice = windows.groupBy("id").agg(F.count("*").alias("c")).filter("c > 1").select("id")
-        out = out.unionByName(windows.filter("lone").join(twice, "id", "left_semi").select("rid", "start", F.lit(1).alias("n")))
+        windows = large.mapInArrow(_windows(length), "high long, low long, rid long, start long, lone boolean")
+        twice = windows.groupBy("high", "low").agg(F.count("*").alias("c")).filter("c > 1").select("high", "low")
+        out = out.unionByName(windows.filter("lone").join(twice, ["high", "low"], "left_semi").select("rid", "start", F.lit(1).alias("n")))
     return out
 
 
