@@ -3,7 +3,7 @@
 import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -164,6 +164,49 @@ def test_rates_of_a_rare_domain(spark, n_toxic):
     assert (got[n_toxic:] < 0.5).mean() < 0.01 and abs(got.mean() - 1) < 0.02
 
 
+def test_posteriors_against_counting(spark):
+    rng = np.random.default_rng(11)
+    common, marks = [f"w{k}" for k in range(40)], {"bad": [f"x{k}" for k in range(60)], "good": [f"g{k}" for k in range(3)]}
+    rows, domain = [], {}
+    for i in range(300):
+        domain[i] = "bad" if i % 4 == 0 else "good"
+        words = list(rng.choice(common, rng.integers(0, 30))) + list(rng.choice(marks[domain[i]], rng.integers(0, 9)))
+        rows.append((i, " ".join(rng.permutation(words))))
+    rows.append((5, rows[5][1]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame(list(domain.items()), "doc_id long, domain string")
+    got = sorted((r.doc_id, *r.p) for r in posteriors(docs, labels, ["bad", "good"], bins=2).collect())
+
+    def stats(text):
+        w = text.split()
+        n = max(len(w), 1)
+        return [len(text) / n, math.log2(n), 0.0, 0.0, len(set(w)) / n]
+
+    sides = [domain[i] == "good" for i, _ in rows]
+    size = [sides.count(False), sides.count(True)]
+    table = np.array([stats(t) for _, t in rows])
+    bins = (table > np.sort(table, axis=0)[-(-len(rows) // 2) - 1]).astype(int)
+    seen = defaultdict(lambda: [0, 0])
+    for (_, t), side in zip(rows, sides):
+        for w in set(t.split()):
+            seen[w][side] += 1
+    rate = lambda c, k: (c[k] + 0.5) / (size[k] + 1)
+    lexicon = {w: c for w, c in seen.items() if any(c[k] >= 3 and math.log(rate(c, k) / rate(c, 1 - k)) >= 2 for k in (0, 1))}
+    assert sum(w.startswith("x") for w in lexicon) > 32
+    expected = []
+    for r, (i, t) in enumerate(rows):
+        raw = []
+        for k in (0, 1):
+            v = math.log((size[k] + 1) / (len(rows) + 2))
+            v += sum(math.log(rate(c, k) if w in set(t.split()) else 1 - rate(c, k)) for w, c in lexicon.items())
+            for j in range(5):
+                same = sum(bins[q, j] == bins[r, j] for q in range(len(rows)) if sides[q] == k)
+                v += math.log((same + 0.5) / (size[k] + 1))
+            raw.append(v)
+        expected.append((i, 1 / (1 + math.exp(raw[1] - raw[0])), 1 / (1 + math.exp(raw[0] - raw[1]))))
+    assert np.allclose(got, sorted(expected), atol=1e-9)
+
+
 def test_mixing_meets_targets_and_knows_its_domains(spark):
     rows = QUERIES["op3_soft_mixing"](spark, LARGER).toPandas()
     total = rows.n_tokens.sum()

@@ -1,7 +1,8 @@
 """Mixing sources to target weights, with soft membership.
 
 A naive-Bayes classifier over words and binned statistics of the text is counted from a
-labelled table; it gives every document a posterior over domains. Nonnegative document rates
+labelled table; it gives every document a posterior over domains. Its words are a table that the
+documents' words are joined to, so their number is not limited. Nonnegative document rates
 are then fitted by projected gradient descent on least squares, so that the expected tokens of
 every domain meet their targets: the gradient of a document is its posterior times the
 residuals, so each step needs one distributed sum per domain. Only built-in functions run.
@@ -16,12 +17,12 @@ from pyspark.sql import functions as F
 
 from tidyorder.llm.common import stash
 
-#: Expected labelled documents behind the classifier, words kept per domain, bins per statistic.
-#: A word must be LIFT times (as a logarithm) as common in its domain as elsewhere; words that
+#: Expected labelled documents behind the classifier, bins per statistic. A word must be in SUPPORT
+#: documents of a domain and there LIFT times (as a logarithm) as common as elsewhere; words that
 #: only tell languages apart are not, and would count the same evidence again and again.
-SAMPLE, LEXICON, BINS = 4000, 32, 16
-LIFT = 2.0
-STEPS, TOLERANCE, KEPT = 40, 2e-3, 5
+SAMPLE, BINS = 4000, 16
+SUPPORT, LIFT = 3, 2.0
+STEPS, TOLERANCE, KEPT = 1000, 2e-3, 5
 N_STATS = 5
 
 
@@ -49,7 +50,7 @@ def _literal(values: list[float]) -> Column:
 class _Bayes:
     """Bernoulli naive Bayes: presence of lexicon words, and one bin of each statistic."""
 
-    def __init__(self, marked: DataFrame, domains: list[str], lexicon: int, bins: int):
+    def __init__(self, marked: DataFrame, domains: list[str], bins: int):
         self.domains = domains
         totals = {r["domain"]: r["count"] for r in marked.groupBy("domain").count().collect()}
         n_d = [totals.get(d, 0) for d in domains]
@@ -60,48 +61,49 @@ class _Bayes:
         per_word = marked.select("domain", F.explode(F.array_distinct("words")).alias("f")).groupBy("f").agg(
             *[F.count(F.when(F.col("domain") == d, 1)).alias(f"c{k}") for k, d in enumerate(domains)]
         )
-        per_word = stash(per_word, "mixing-words")
-        words: dict[str, list[int]] = {}
+        telling, odds, absent = F.lit(False), [], []
         for k in range(len(domains)):
-            inside, outside = F.col(f"c{k}"), sum(F.col(f"c{j}") for j in range(len(domains)) if j != k) if len(domains) > 1 else F.lit(0)
+            inside, outside = F.col(f"c{k}"), sum([F.col(f"c{j}") for j in range(len(domains)) if j != k], F.lit(0))
             lift = F.log((inside + 0.5) / (n_d[k] + 1) / ((outside + 0.5) / (n - n_d[k] + 1)))
-            top = per_word.filter(inside >= 3).withColumn("gain", inside * lift).filter(lift >= LIFT).orderBy(F.desc("gain"), "f").limit(lexicon)
-            words |= {r["f"]: [r[f"c{j}"] for j in range(len(domains))] for r in top.collect()}
-        in_bins = marked.select("domain", F.explode(self._bins()).alias("f")).groupBy("f", "domain").count().collect()
-        binned: dict[str, list[int]] = {f"{j}:{b}": [0] * len(domains) for j in range(N_STATS) for b in range(len(self.cuts[j]) + 1)}
-        for r in in_bins:
-            binned[r["f"]][domains.index(r["domain"])] = r["count"]
-        self.start = [math.log((m + 1) / (n + len(domains))) for m in n_d]
-        self.weights: dict[str, list[float]] = {}
-        for f, c in words.items():
-            p = [(c[k] + 0.5) / (n_d[k] + 1) for k in range(len(domains))]
-            self.start = [s + math.log(1 - q) for s, q in zip(self.start, p)]
-            self.weights[f] = [math.log(q / (1 - q)) for q in p]
-        for f, c in binned.items():
-            width = len(self.cuts[int(f[0])]) + 1
-            self.weights[f] = [math.log((c[k] + 0.5) / (n_d[k] + 0.5 * width)) for k in range(len(domains))]
-        self.words = sorted(words)
-
-    def _bins(self) -> Column:
-        """The bin of each statistic as "statistic:bin", which no word of the lexicon can be."""
-        codes = [sum([(F.col(f"s{j}") > x).cast("int") for x in c], F.lit(0)) for j, c in enumerate(self.cuts)]
-        return F.array(*[F.concat(F.lit(f"{j}:"), b.cast("string")) for j, b in enumerate(codes)])
+            telling = telling | ((inside >= SUPPORT) & (lift >= LIFT))
+            p = (inside + 0.5) / (n_d[k] + 1)
+            odds.append(F.log(p / (1 - p)).alias(f"w{k}"))
+            absent.append(F.log(1 - p).alias(f"a{k}"))
+        words = per_word.filter(telling).select("f", *odds, *absent)
+        # the empty word, which no text has, stands for the document itself in the join
+        zero = marked.sparkSession.range(1).select(F.lit("").alias("f"), *[F.lit(0.0).alias(f"{x}{k}") for x in "wa" for k in range(len(domains))])
+        self.lexicon = stash(words.unionByName(zero), "mixing-words")
+        none = self.lexicon.agg(*[F.sum(f"a{k}").alias(f"a{k}") for k in range(len(domains))]).first()
+        self.start = [math.log((m + 1) / (n + len(domains))) + none[k] for k, m in enumerate(n_d)]
+        found = marked.select("domain", *[c.alias(f"b{j}") for j, c in enumerate(self._bins())])
+        by_bin = found.select("domain", F.posexplode(F.array(*[f"b{j}" for j in range(N_STATS)])).alias("stat", "bin")).groupBy("domain", "stat", "bin").count()
+        counts = [[[0] * (len(c) + 1) for c in self.cuts] for _ in domains]
+        for r in by_bin.collect():  # bins times statistics times domains
+            counts[domains.index(r["domain"])][r["stat"]][r["bin"]] = r["count"]
+        self.binned = [[[math.log((c + 0.5) / (n_d[k] + 0.5 * len(row))) for c in row] for row in counts[k]] for k in range(len(domains))]
+
+    def _bins(self) -> list[Column]:
+        return [sum([(F.col(f"s{j}") > x).cast("int") for x in c], F.lit(0)) for j, c in enumerate(self.cuts)]
 
     def posterior(self, rows: DataFrame) -> DataFrame:
-        """Adds p, the probabilities in the order of `domains`. A column for each step, so that
-        what a lambda refers to is computed once for a row."""
-        table = F.create_map(*[x for f, w in self.weights.items() for x in (F.lit(("w" if f in self.words else "b") + f), _literal(w))])
-        here = F.transform(F.array_intersect("words", F.array(*[F.lit(w) for w in self.words]).cast("array<string>")), lambda x: F.concat(F.lit("w"), x))
-        marks = F.concat(here, F.transform(self._bins(), lambda x: F.concat(F.lit("b"), x)))
-        rows = rows.withColumn("marks", marks)
-        rows = rows.withColumn("raw", F.aggregate("marks", _literal(self.start), lambda a, f: F.zip_with(a, F.element_at(table, f), lambda x, y: x + y)))
-        rows = rows.withColumn("top", F.array_max("raw"))
-        rows = rows.withColumn("odds", F.transform("raw", lambda x: F.exp(x - F.col("top"))))
-        rows = rows.withColumn("all_odds", F.aggregate("odds", F.lit(0.0), lambda a, b: a + b))
-        return rows.withColumn("p", F.transform("odds", lambda x: x / F.col("all_odds")))
-
-
-def posteriors(docs: DataFrame, labels: DataFrame, domains: list[str], sample: int = SAMPLE, lexicon: int = LEXICON, bins: int = BINS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """doc_id, tk, n_tokens, p: the probabilities in the order of `domains`. Rows get a number
+        and meet the lexicon word by word; their texts are not shuffled, and what a row's words
+        give is added before its one row is."""
+        d = range(len(self.domains))
+        rows = rows.withColumns({"rid": F.monotonically_increasing_id(), **{f"b{j}": c for j, c in enumerate(self._bins())}})
+        fixed = [sum([_literal(self.binned[k][j])[F.col(f"b{j}")] for j in range(N_STATS)], F.lit(self.start[k])).alias(f"r{k}") for k in d]
+        keys = ["rid", "doc_id", "tk", "n_tokens", *[f"r{k}" for k in d]]
+        terms = rows.select(*keys[:4], *fixed, F.explode(F.array_union("words", F.array(F.lit("")))).alias("f"))
+        # no hint: Spark broadcasts the written lexicon if its size allows
+        summed = terms.join(self.lexicon, "f").groupBy(*keys).agg(*[F.sum(f"w{k}").alias(f"w{k}") for k in d])
+        summed = summed.withColumn("raw", F.array(*[F.col(f"r{k}") + F.col(f"w{k}") for k in d]))
+        summed = summed.withColumn("top", F.array_max("raw"))
+        summed = summed.withColumn("odds", F.transform("raw", lambda x: F.exp(x - F.col("top"))))
+        summed = summed.withColumn("all_odds", F.aggregate("odds", F.lit(0.0), lambda a, b: a + b))
+        return summed.select("doc_id", "tk", "n_tokens", F.transform("odds", lambda x: x / F.col("all_odds")).alias("p"))
+
+
+def posteriors(docs: DataFrame, labels: DataFrame, domains: list[str], sample: int = SAMPLE, bins: int = BINS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, tk, n_tokens, p (array over `domains`) of every row.
 
     labels: doc_id, domain. Other or null domains and null ids are left out; an id with several
@@ -115,8 +117,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, domains: list[str], sample: i
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int((1 << 40) * sample / n))
     taken = docs.join(known.select(F.col("doc_id").alias("__id"), F.col("domain").alias("__domain")), docs[id_col] == F.col("__id"))
     marked = stash(_described(taken.select(F.struct(id_col, "__domain").alias(id_col), text_col), id_col, text_col).withColumn("domain", F.col("doc_id.__domain")).drop("doc_id"), "mixing-sample")
-    model = _Bayes(marked, domains, lexicon, bins)
-    return model.posterior(_described(docs, id_col, text_col)).select("doc_id", "tk", "n_tokens", "p")
+    return _Bayes(marked, domains, bins).posterior(_described(docs, id_col, text_col))
 
 
 def fit_rates(rows: DataFrame, weights: list[float], ridge: float = 1e-3, steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
@@ -128,8 +129,8 @@ def fit_rates(rows: DataFrame, weights: list[float], ridge: float = 1e-3, steps:
     the same however rare it is, and one that should hold nothing gets rates near 0 at any share.
     Steps have Barzilai-Borwein length, long and short by turns; one that does not lower the value
     is taken again, shorter. The state is written every KEPT steps; between, steps are columns.
-    Ends where the projected gradient of every row with tokens is below `tolerance`, or after
-    `steps`.
+    Ends where the projected gradient of every row with tokens is below `tolerance`; a fit that
+    is not there after `steps` is an error.
     """
     d = len(weights)
     share = sum(weights) or 1.0
@@ -169,6 +170,8 @@ def fit_rates(rows: DataFrame, weights: list[float], ridge: float = 1e-3, steps:
         along, turned = bend + ridge * got["moved"], sum(diff[j] * diff[k] * gram[j][k] for j in range(d) for k in range(d)) + 2 * ridge * bend + ridge**2 * got["moved"]
         length = min(1e3, max(1e-2, along / turned if step % 2 else got["moved"] / along)) if along > 0 and turned > 0 else 1.0
         e, value = new, worth(new, got)
+    else:
+        raise RuntimeError(f"rates did not reach the tolerance of {tolerance} in {steps} steps")
     return stash(state.drop("old", "slope"), "mixing-rates")
 
 
