@@ -124,6 +124,46 @@ def test_mixer_against_one_decision_at_a_time():
     assert got == pytest.approx(want, rel=1e-3)
 
 
+def test_pieces_of_a_word_cost_what_the_word_costs(monkeypatch):
+    rng = np.random.default_rng(3)
+    words = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in (1, 5, 6, 40, 1000, 2)]
+    tables = [rng.integers(-40, 40, 1 << cm.CELL_BITS).astype(np.int8) for _ in range(2)]
+    whole = cm.letter_bits(words, tables, cm.letter_start())
+    counted = {}
+    for size in (1 << 16, 7):
+        monkeypatch.setattr(cm, "SEGMENT", size)
+        np.testing.assert_allclose(cm.letter_bits(words, tables, cm.letter_start()), whole, rtol=1e-5)
+        total = np.zeros((2, 2 << cm.CELL_BITS), np.uint32)
+        for before, pieces, owner in cm._pieces(words):
+            cm._Letters(before, pieces).count(total, np.arange(1, 7)[owner])
+        counted[size] = total
+    assert (counted[1 << 16] == counted[7]).all()
+    assert counted[7].sum() == 2 * 8 * sum((k + 1) * (len(w) + 1) for k, w in enumerate(words))
+
+
+def test_rows_without_an_id_do_not_all_fall_into_the_sample(spark, monkeypatch):
+    texts = [f"word{k} other{k % 50} more{k % 7} and some that all rows share" for k in range(1500)]
+    docs = spark.createDataFrame([(None if k % 2 else 4, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    sampled, plain = [], cm.numbered
+
+    def spy(code, words, *rest):
+        sampled.append(sum(len(w) + 1 for t in words for w in t))
+        return plain(code, words, *rest)
+
+    monkeypatch.setattr(cm, "numbered", spy)
+    got = cm.score_texts(docs, sample_bytes=4000).collect()
+    assert 0 < sampled[0] < 16000
+    held = {r.doc_id: r.held_out for r in got}
+    counts = Counter(w for d, t in zip([None if k % 2 else 4 for k in range(1500)], texts) if not held[d] for w in [*t.split(), ""])
+    assert {r.train_tokens for r in got} == {sum(counts.values())}
+
+
+def test_scoring_a_very_long_word(spark):
+    docs = spark.createDataFrame([(k, "some plain words here") for k in range(40)] + [(50, "abc" * 1_500_000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in cm.score_texts(docs).collect()}
+    assert got[50].n_tokens == 2 and got[50].score < 0 and np.isfinite(got[50].score)
+
+
 def test_scoring_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, "a"), (4, "A  a\n a"), (5, "é " * 30000), (None, "a b"), (3, "a"), (9, "never seen"), (9, "z" * 50000)]
     docs = spark.createDataFrame([(i, t, 1, "y") for i, t in rows], "doc_id long, text string, n int, word string")
