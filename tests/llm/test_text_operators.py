@@ -3,12 +3,15 @@
 import hashlib
 import re
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.compare import connect, difference
 from tidyorder.llm import decontaminate as dc
+from tidyorder.llm import exact_dedup as ed
 from tidyorder.llm.exact_dedup import exact_dedup
 from tidyorder.llm.line_dedup import apply_bitmaps, dropped_lines, line_bitmaps
 from tidyorder.llm.queries import QUERIES, SQL
@@ -117,6 +120,25 @@ def test_decontamination_removes(spark):
     assert cut == {1: "Say: and more", 2: "clean", None: None, 3: "x " * 100}
 
 
+def test_blocks_with_a_common_header_spread(spark):
+    header = "".join(chr(97 + k % 23) for k in range(203))
+    texts = [f"{header}{k % 3000:07d}" for k in range(4000)] + [f"{k:05d}" for k in range(1000)] + [header, header[:64], header[:32]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    blocks = ed._blocks(docs, "doc_id", "text", 1024)
+    beginnings = ed._frequent_beginnings(blocks, 1)
+    assert {len(b) for b in beginnings} == {32 * k for k in range(1, 7)}
+    ranged = ed._ranged(blocks.select("block").distinct(), beginnings)
+    sizes = [r["count"] for r in ranged.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 4003 and max(sizes) < 3 * 4003 / ranged.rdd.getNumPartitions()
+    groups = defaultdict(list)
+    for k, t in enumerate(texts):
+        groups[t].append(k)
+    got = ed.identities(docs, layout=1).collect()
+    assert len({(r.level, r.name) for r in got}) == len(groups)
+    keep = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup(docs).collect()}
+    assert keep == {k: (max(groups[t]), len(groups[t])) for k, t in enumerate(texts)}
+
+
 @pytest.mark.parametrize("block", [4, 1024])
 def test_exact_dedup_edge_cases(spark, block):
     rows = [*ROWS, (10, "abcdabcd"), (11, "abcdabcdabcd"), (12, "abcdabcd"), (13, "abcd"), (None, "abcd"), (13, "abcd"), (13, "other")]
