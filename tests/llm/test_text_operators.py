@@ -1,6 +1,7 @@
 """Line dedup, decontamination, exact dedup: edge cases against plain Python, SQL twins."""
 
 import hashlib
+import pickle
 import re
 import zlib
 from collections import defaultdict
@@ -112,6 +113,22 @@ def test_decontamination_edge_cases(spark, index_bytes):
     assert dc.scan(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
 
 
+def test_index_of_a_large_benchmark_is_small_and_exact():
+    rng = np.random.default_rng(5)
+    words = np.array([f"term{k}" for k in range(50_000)])
+    items = [(f"i{k:04d}", " ".join(words[rng.integers(0, 50_000, 1000)])) for k in range(400)]
+    items += [(f"j{k:04d}", items[0][1][:200]) for k in range(2000)]  # windows of many items
+    index = dc._Index([(k, t.encode()) for k, t in items], 13)
+    assert len(pickle.dumps(index)) < 12 * sum(len(t) for _, t in items)
+    texts = [items[7][1][:500], "nothing here", items[0][1], "", " ".join(words[:40])]
+    flat = [dc.words_of(t.encode()) for t in texts]
+    hit, pairs = index.scan([w for t in flat for w in t], np.cumsum([len(t) for t in flat]))
+    names = index.names.to_pylist()
+    found = [[names[p % len(names)] for p in pairs if p // len(names) == k] for k in range(len(texts))]
+    assert found == [["i0007"], [], ["i0000", *(f"j{k:04d}" for k in range(2000))], [], []]
+    assert hit.sum() == len(flat[0]) - (not items[7][1].startswith(texts[0] + " ")) + len(flat[2])
+
+
 def test_decontamination_removes(spark):
     bench = spark.createDataFrame([(1, "red green blue")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "Say: red, green; blue! and more"), (2, "clean"), (None, None), (3, "red green blue " + "x " * 100)], "doc_id long, text string")

@@ -3,18 +3,21 @@
 The benchmark is cut into parts of at most INDEX_BYTES of text; the windows of one part are
 hashed, sorted and broadcast, and the documents are scanned against it once per part. A scan
 turns words into benchmark word numbers, hashes all windows of a batch with numpy, looks the
-hashes up and verifies every hit word by word.
+hashes up and verifies every hit word by word. The broadcast index is arrays only: the words,
+one array of word numbers, and for each window its hash, one place where it stands and its items.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
@@ -23,64 +26,106 @@ from tidyorder.llm.common import null_safe_join, slices, stash
 WINDOW = 13
 #: Benchmark text behind one broadcast; a larger benchmark takes several scans.
 INDEX_BYTES = 16 << 20
+#: Pairs of document and item that a scan holds before it drops repeated ones.
+PAIRS = 1 << 20
 
 # Word bytes are 0-9, a-z and everything beyond ASCII; A-Z are lower-cased, the rest parts words.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(_WORDS).split()
 
 
-def _hashes(ids: np.ndarray, n: int) -> np.ndarray:
-    """Polynomial hash of each run of n numbers."""
-    out = np.zeros(len(ids) - n + 1, np.uint64)
+def _hashes(ids: np.ndarray, starts: np.ndarray, n: int, factor: np.uint64) -> np.ndarray:
+    """Polynomial hash of the n numbers from each start."""
+    out = np.zeros(len(starts), np.uint64)
+    for j in range(n):
+        out = out * factor + ids[starts + j].astype(np.uint64)
+    return out
+
+
+def _same(a: np.ndarray, at: np.ndarray, b: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
+    """Whether the n numbers of `a` from each `at` are those of `b` from each `to`."""
+    out = np.ones(len(at), bool)
     for j in range(n):
-        out = out * _MIX + ids[j : j + len(out)].astype(np.uint64)
+        out &= a[at + j] == b[to + j]
     return out
 
 
+class _Windows:
+    """The distinct windows of one length, sorted by hash: where each stands and its items."""
+
+    def __init__(self, tokens: np.ndarray, starts: np.ndarray, items: np.ndarray, size: int):
+        for salt in count(1):  # a factor under which different windows have different hashes
+            self.factor = np.uint64((0x9E3779B97F4A7C15 * (2 * salt - 1)) % (1 << 64))
+            value = _hashes(tokens, starts, size, self.factor)
+            order = np.argsort(value, kind="stable")
+            equal = np.flatnonzero(value[order[1:]] == value[order[:-1]])
+            if _same(tokens, starts[order[equal]], tokens, starts[order[equal + 1]], size).all():
+                break
+        new = np.ones(len(order), bool)
+        new[equal + 1] = False
+        self.hashes, self.places = value[order[new]], starts[order[new]].astype(np.int32)
+        most = int(items.max()) + 1
+        pairs = np.unique((np.cumsum(new) - 1) * most + items[order])
+        self.items = (pairs % most).astype(np.int32)
+        self.offsets = np.searchsorted(pairs // most, np.arange(len(self.places) + 1)).astype(np.int32)
+
+
 class _Index:
-    """Windows of benchmark items: by length, sorted hashes; by window, the items."""
+    """Windows of benchmark items in arrays."""
 
     def __init__(self, items: list[tuple[str, bytes]], n: int):
-        self.vocabulary: dict[bytes, int] = {}
-        self.items: dict[tuple, list[str]] = defaultdict(list)
+        names = sorted({item for item, _ in items})
+        number = {item: k for k, item in enumerate(names)}
+        vocabulary: dict[bytes, int] = {}
+        parts, at, found = [], 0, {}
         for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            size = min(n, len(ids))
-            for i in range(len(ids) - size + 1 if ids else 0):
-                window = tuple(ids[i : i + size])
-                if item not in self.items[window]:
-                    self.items[window].append(item)
-        self.items = dict(self.items)
-        by_size = defaultdict(list)
-        for window in self.items:
-            by_size[len(window)].append(window)
-        self.hashes = {k: np.unique(np.concatenate([_hashes(np.array(w), k) for w in v])) for k, v in by_size.items()}
-
-    def scan(self, words: list[bytes], bounds: np.ndarray) -> tuple[np.ndarray, dict[int, set[str]]]:
-        """Hit flag per word; items by document. words: of all documents, which end at bounds."""
-        ids = np.fromiter((self.vocabulary.get(w, 0) for w in words), np.int64, len(words))
+            words = words_of(text)
+            if not words:
+                continue
+            parts.append(np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words], np.int32))
+            size = min(n, len(words))
+            starts = at + np.arange(len(words) - size + 1)
+            found.setdefault(size, []).append((starts, np.full(len(starts), number[item], np.int64)))
+            at += len(words)
+        self.names = pa.array(names, pa.string())
+        self.vocabulary = pa.array(list(vocabulary), pa.binary())
+        self.tokens = np.concatenate([np.zeros(0, np.int32), *parts])
+        self.windows = {size: _Windows(self.tokens, *(np.concatenate(x) for x in zip(*found[size])), size) for size in sorted(found)}
+
+    def scan(self, words: list[bytes], bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hit flag per word, and sorted distinct document * items + item. words: of all
+        documents, which end at bounds."""
+        ids = pc.fill_null(pc.index_in(pa.array(words, pa.binary()), value_set=self.vocabulary), -1).to_numpy() + 1
         owner = np.repeat(np.arange(len(bounds)), np.diff(bounds, prepend=0))
         unknown = np.concatenate([[0], np.cumsum(ids == 0)])
-        marks, found = np.zeros(len(ids) + 1, np.int64), defaultdict(set)
-        for size, hashes in self.hashes.items():
+        marks, pairs, held, most = np.zeros(len(ids) + 1, np.int64), [], 0, max(1, len(self.names))
+        for size, w in self.windows.items():
             if len(ids) < size:
                 continue
             starts = np.flatnonzero(unknown[size:] == unknown[:-size])
             starts = starts[owner[starts] == owner[starts + size - 1]]
-            if not len(starts):
-                continue
-            value = _hashes(ids, size)[starts]
-            at = np.minimum(np.searchsorted(hashes, value), len(hashes) - 1)
-            for i in starts[hashes[at] == value].tolist():
-                if items := self.items.get(tuple(ids[i : i + size].tolist())):
-                    marks[i] += 1
-                    marks[i + size] -= 1
-                    found[int(owner[i])].update(items)
-        return np.cumsum(marks[:-1]) > 0, found
+            value = _hashes(ids, starts, size, w.factor)
+            at = np.minimum(np.searchsorted(w.hashes, value), len(w.hashes) - 1)
+            hit = w.hashes[at] == value
+            starts, at = starts[hit], at[hit]
+            true = _same(ids, starts, self.tokens, w.places[at], size)
+            starts, at = starts[true], at[true]
+            np.add.at(marks, starts, 1)
+            np.add.at(marks, starts + size, -1)
+            once = np.unique(owner[starts] * len(w.places) + at)
+            docs, at = once // len(w.places), once % len(w.places)
+            sizes = w.offsets[at + 1] - w.offsets[at]
+            cuts = np.searchsorted(np.cumsum(sizes), np.arange(PAIRS, int(sizes.sum()), PAIRS))
+            for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)]):
+                many = sizes[low:high]
+                inner = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+                pairs.append(np.repeat(docs[low:high], many) * most + w.items[np.repeat(w.offsets[at[low:high]], many) + inner])
+                held += len(pairs[-1])
+                if held > PAIRS:
+                    pairs = [np.unique(np.concatenate(pairs))]
+                    held = 0
+        return np.cumsum(marks[:-1]) > 0, np.unique(np.concatenate([np.zeros(0, np.int64), *pairs]))
 
 
 def _scanner(index, schema: StructType):
@@ -92,9 +137,12 @@ def _scanner(index, schema: StructType):
         for batch in (s for b in batches for s in slices([b], "text")):
             texts = [words_of(t or b"") for t in batch.column(2).to_pylist()]
             bounds = np.cumsum([len(t) for t in texts])
-            hit, found = index.value.scan([w for t in texts for w in t], bounds)
+            hit, pairs = index.value.scan([w for t in texts for w in t], bounds)
+            names = index.value.names
+            offsets = np.searchsorted(pairs, np.arange(len(texts) + 1) * max(1, len(names))).astype(np.int32)
+            items = pa.ListArray.from_arrays(pa.array(offsets), names.take(pa.array(pairs % max(1, len(names)))))
             edges = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0))
-            spans, items = [[] for _ in texts], [sorted(found.get(k, ())) for k in range(len(texts))]
+            spans = [[] for _ in texts]
             if len(edges):
                 starts, stops = edges[::2], edges[1::2]
                 for s, e in zip(starts.tolist(), stops.tolist()):
@@ -105,7 +153,7 @@ def _scanner(index, schema: StructType):
                             spans[k] += [s - base, stop - base]
                         s, k = stop, k + 1
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(t) for t in texts], pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
+                [batch.column(0), batch.column(1), pa.array([len(t) for t in texts], pa.int64()), pa.array(spans, pa.list_(pa.int64())), items],
                 schema=arrow,
             )
 
@@ -147,21 +195,21 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, index_bytes: in
 def _merge(found: DataFrame, parts: int) -> DataFrame:
     """Spans and items of the scans of several parts, united per document."""
 
-    @F.udf(ArrayType(LongType()))
-    def united(spans):
-        pairs, out = sorted((s[i], s[i + 1]) for s in spans for i in range(0, len(s), 2)), []
-        for a, b in pairs:
-            if out and a <= out[-1]:
-                out[-1] = max(out[-1], b)
-            else:
-                out += [a, b]
-        return out
-
-    hits = found.filter(F.size("spans") > 0).groupBy("doc_id", "tk").agg(F.collect_set("spans").alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    hits = hits.select("doc_id", "tk", united("all").alias("spans"), "items")
+    key = ["doc_id", "tk"]
+    hits = found.filter(F.size("spans") > 0)
+    items = hits.groupBy(*key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    # spans that overlap or touch become one
+    pair = F.expr("explode(transform(sequence(0, int(size(spans) / 2) - 1), i -> named_struct('a', spans[2 * i], 'b', spans[2 * i + 1])))")
+    each = hits.select(*key, pair.alias("p")).select(*key, "p.a", "p.b").distinct()
+    order = Window.partitionBy(*key).orderBy("a", "b")
+    apart = F.col("a") > F.coalesce(F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    island = each.withColumn("new", apart.cast("int")).withColumn("island", F.sum("new").over(order))
+    one = island.groupBy(*key, "island").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    spans = one.groupBy(*key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("a", "b"))), lambda x: F.array(x["a"], x["b"]))).alias("spans"))
+    hits = null_safe_join(spans, items, key)
     # every part returns each row once, so a row repeated k times is here k * parts times
     rows = found.groupBy("doc_id", "tk").agg((F.count("*") / parts).cast("int").alias("copies"), F.first("n_words").alias("n_words"))
-    rows = null_safe_join(rows, hits, ["doc_id", "tk"], "left").withColumn("copy", F.explode(F.expr("sequence(1, copies)")))
+    rows = null_safe_join(rows, hits, key, "left").withColumn("copy", F.explode(F.expr("sequence(1, copies)")))
     return rows.selectExpr("doc_id", "tk", "n_words", "coalesce(spans, array()) AS spans", "coalesce(items, array()) AS items")
 
 
@@ -174,25 +222,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
         tk = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
         return docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]) & (tk == gone["__tk"]), "left_anti")
 
-    @F.udf("string")
-    def cut(text, spans):
-        if not spans:
-            return text
-        raw = text.encode()
-        flat = raw.translate(_WORDS)
-        ends, inside = [], False
-        for i, c in enumerate(flat + b" "):
-            if (c != 32) != inside:
-                ends.append(i)
-                inside = not inside
-        starts = [*ends[::2], len(raw)]
-        out, at = [], 0
-        for a, b in zip(spans[::2], spans[1::2]):
-            out.append(raw[at : starts[a]])
-            at = starts[b]
-        return b"".join([*out, raw[at:]]).decode()
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for text, span in zip(texts, spans):
+            raw = text.encode()
+            inside = np.frombuffer(raw.translate(_WORDS), np.uint8) != 32
+            starts = np.append(np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0) == 1), len(raw))
+            at = np.asarray(span, np.int64)
+            lows, highs = starts[at[::2]].tolist(), starts[at[1::2]].tolist()
+            out.append(b"".join(raw[a:b] for a, b in zip([0, *highs], [*lows, len(raw)])).decode())
+        return pd.Series(out, dtype=object)
 
     hits = found.filter("n_hit > 0").select(F.col("doc_id").alias("__id"), F.col("tk").alias("__tk"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__tk"])
     tk = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
     rows = docs.join(hits, docs[id_col].eqNullSafe(hits["__id"]) & (tk == hits["__tk"]), "left")
-    return rows.withColumn(text_col, cut(F.col(text_col), F.col("__spans"))).drop("__id", "__tk", "__spans")
+    text, hit = F.col(text_col), F.col("__spans").isNotNull()
+    shown = cut(F.when(hit, text).otherwise(""), F.coalesce("__spans", F.array().cast("array<bigint>")))
+    return rows.withColumn(text_col, F.when(hit, shown).otherwise(text)).drop("__id", "__tk", "__spans")
