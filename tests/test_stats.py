@@ -221,3 +221,12 @@ def test_times_beside_a_zero_are_spread(spark):
     for odd in (0.0, 1_600_000_000.0):
         most = _bucketed(times.union(spark.createDataFrame([(odd,)], "v double")), "v").groupBy("_bucket").count().agg(F.max("count")).first()[0]
         assert most <= 400
+
+
+def test_rank_correlation_of_a_side_with_one_value_is_null(spark):
+    rows = [("flat", float(i), 2.0) for i in range(4)] + [("one", 1.0, 1.0)] + [("varied", x, y) for x, y in ((1.0, 1.0), (2.0, 4.0), (4.0, 3.0))]
+    got = {r["g"]: r for r in stats.spearman(spark.createDataFrame(rows, "g string, x double, y double"), ["g"], "x", "y").collect()}
+    assert {g: r["n"] for g, r in got.items()} == {"flat": 4, "one": 1, "varied": 3}
+    assert got["flat"]["rho"] is None and got["flat"]["p"] is None and got["one"]["rho"] is None
+    assert got["varied"]["rho"] == pytest.approx(0.5)
+    assert stats.spearman(spark.createDataFrame(rows[:4], "g string, x double, y double"), [], "x", "y").first()["rho"] is None

@@ -308,12 +308,15 @@ def wilcoxon(
 
 
 def spearman(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
-    """Spearman correlation of average ranks with its two-sided t p-value."""
+    """Spearman correlation of average ranks with its two-sided t p-value; both are NULL where a
+    side has one value only."""
     frame, by = _grouped(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), by)
+    varied = frame.groupBy(*by).agg(((F.min(x) < F.max(x)) & (F.min(y) < F.max(y))).alias("_varied"))
     rx = value_ranks(frame, by, x).select(*by, x, F.col("avg_rank").alias("_rx"))
     ry = value_ranks(frame, by, y).select(*by, y, F.col("avg_rank").alias("_ry"))
-    ranked = frame.select(*by, x, y).join(rx, [*by, x]).join(ry, [*by, y])
-    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("rho"))
+    ranked = frame.select(*by, x, y).join(rx, [*by, x]).join(ry, [*by, y]).join(varied, by)
+    # corr divides by zero where a side does not vary; it passes over NULLs
+    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr(F.when(F.col("_varied"), F.col("_rx")), "_ry").alias("rho"))
     spread = F.greatest(F.lit(0.0), 1 - F.col("rho") * F.col("rho"))
     t = F.when(spread > 0, F.col("rho") * F.sqrt((F.col("n") - 2) / spread))
     p = F.when(F.abs("rho") >= 1, F.lit(0.0)).otherwise(t_two_sided(t, F.col("n") - 2))
