@@ -115,3 +115,33 @@ def test_synthetic_rows_by_fold_equal_one_fold_at_a_time(spark, nominal):
         train = df.where(F.col("fold") != fold).drop("fold")
         one = balance.smote(impute.apply_fill(train, impute.fit_fill(train)), 7).where("origin = 'syn'").collect()
         assert sorted(got[fold]) == sorted((r.label, *(round(r[c], 9) for c in features)) for r in one)
+
+
+@pytest.mark.parametrize("d", [3, 10, 23])
+def test_packed_rows_walk_and_count_like_plain_ones(d):
+    rng = np.random.default_rng(d)
+    n, level, some = 20_000, 5, 3
+    values, label = rng.integers(0, ff.BINS, (n, d)).astype(float), rng.integers(0, 2, n).astype(np.int8)
+    fold = np.zeros(n, np.int16)
+    block = ff._Block({"ids": np.arange(n).tobytes(), "label": label.tobytes(), "fold": fold.tobytes(), "only": (fold - 1).tobytes(), "values": values.tobytes()}, d)
+    edges = [np.arange(ff.BINS - 1) + 0.5] * d
+    bins, words = (f(np.zeros(d), edges, np.arange(n)) for f in (block.bins, block.words))
+    feature, cut = rng.integers(-1, d, 2**level - 1).astype(np.int16), rng.integers(0, ff.BINS - 1, 2**level - 1).astype(np.uint8)
+    feature[0] = d - 1
+    at = ff._walk(bins, np.append(feature, np.full(2**level, -1)), cut, level) - (2**level - 1)
+    arrived = at >= 0  # the others stay in a leaf above
+    steps = ff._steps(feature, cut, d)
+    assert (ff._descend(words, steps, level)[arrived] == at[arrived]).all() and 0 < arrived.sum() < n
+    open_nodes = np.bincount(at[arrived], minlength=2**level) > 0
+    drawn, looked = ff._draws(np.arange(n), 1, 0, 0), np.sort(rng.random((2**level, d)).argsort(axis=1)[:, :some], axis=1)
+    want = np.zeros((some, 2**level, ff.BINS, 2), np.int64)
+    for s in range(some):
+        np.add.at(want[s], (at[arrived], bins[arrived, looked[at[arrived], s]], label[arrived]), drawn[arrived])
+    assert (ff._counted(words, drawn, steps, looked, open_nodes, level) == want.ravel()).all()
+
+
+def test_blocks_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(ff, "MOST_BLOCK_ROWS", 100)
+    many = materialize(folds_of(learnable(spark, 8000)))
+    layout = ff.lay_out(many, ["x_a", "x_b", "x_c", "c_k"], np.zeros((5, 4)), 3, 10)
+    assert layout.blocks.count() == 80  # not 800: every block sends its counts of all trees

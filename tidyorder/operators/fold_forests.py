@@ -4,7 +4,8 @@ Cross-fitting needs one forest per fold, and every row trains all models but one
 fit per fold, the table is laid out once in blocks; in each pass a task walks its rows down all
 unfinished trees of all models and counts (model, tree, node, feature, bin, class); the counts
 of a tree are added up in one stream and give the best split of each of its nodes. Ten passes
-grow any number of models.
+grow any number of models. A row's bins and label are packed into a 64-bit word, so a step down a
+tree is one sum, whose carry says where the row goes, for all rows of a chunk.
 
 Counts are whole numbers and draws are hashes of the row id, so a forest does not depend on how
 rows are laid out or in which order they come. A tree weighs rows by Poisson(1) draws, looks at
@@ -30,6 +31,11 @@ from tidyorder.session import materialize, parallel_tasks
 BINS = 32
 EDGE_SAMPLE = 10_000
 BLOCK_ROWS = 50_000
+MOST_BLOCK_ROWS = 500_000  # every block sends its counts of all trees, so large tables have large blocks
+CHUNK_ROWS = 8192  # rows that walk together: their arrays stay in the processor's cache
+BITS = 6  # of a bin and a free bit above it, which a sum carries into
+WORD_COLUMNS = 10
+_CARRIES = np.int64(sum(1 << (BITS * (j + 1)) for j in range(WORD_COLUMNS)))
 TREES_PER_BATCH = 25
 _POISSON = np.repeat(  # a 16-bit draw to a Poisson(1) count
     np.arange(9, dtype=np.uint8),
@@ -108,12 +114,24 @@ class _Block:
             out[:, j] = np.searchsorted(cuts, np.where(np.isnan(x), fills[j], x), side="left")
         return out
 
+    def words(self, fills: np.ndarray, edges: list[np.ndarray], rows: np.ndarray) -> list[np.ndarray]:
+        """The bins of WORD_COLUMNS columns and the label, in the lowest bit, as one number a row."""
+        out = []
+        for first in range(0, self.values.shape[1], WORD_COLUMNS):
+            word = self.label[rows].astype(np.int64)
+            for j in range(first, min(first + WORD_COLUMNS, self.values.shape[1])):
+                x = self.values[rows, j]
+                word |= np.searchsorted(edges[j], np.where(np.isnan(x), fills[j], x), side="left") << (BITS * (j - first) + 1)
+            out.append(word)
+        return out
+
 
 def lay_out(rows: DataFrame, columns: list[str], fills: np.ndarray, seed: int, block_rows: int = BLOCK_ROWS) -> Layout:
     """`rows` (row_id, label, fold, only, columns) in blocks. `fold` is the model that must not
     see a row; a row with `only` >= 0 belongs to that model alone; `fills` has a row per model."""
     n = rows.count()
-    tasks = max(parallel_tasks(rows.sparkSession), math.ceil(n / block_rows))
+    enough = max(4 * rows.sparkSession.sparkContext.defaultParallelism, math.ceil(n / MOST_BLOCK_ROWS))
+    tasks = max(parallel_tasks(rows.sparkSession), min(math.ceil(n / block_rows), enough))
     cells = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in columns])
     packed = rows.select("row_id", F.col("label").cast("int").alias("label"), F.col("fold").cast("int").alias("fold"), F.col("only").cast("int").alias("only"), cells.alias("values"))
 
@@ -163,9 +181,17 @@ def _cuts(values: np.ndarray) -> np.ndarray:
 
 
 def _draws(ids: np.ndarray, seed: int, model: int, tree: int) -> np.ndarray:
-    """How often a tree draws each row; one hash serves four trees."""
-    lanes = _mixed(ids.astype(np.uint64) ^ _key(seed, 1, model, tree // 4))
-    return _POISSON[((lanes >> np.uint64(16 * (tree % 4))) & np.uint64(0xFFFF)).astype(np.int64)]
+    """How often a tree draws each row."""
+    return _drawn(_lanes(ids, seed, model, tree // 4), tree % 4)
+
+
+def _lanes(ids: np.ndarray, seed: int, model: int, four: int) -> np.ndarray:
+    """One hash a row, which serves four trees."""
+    return _mixed(ids.astype(np.uint64) ^ _key(seed, 1, model, four))
+
+
+def _drawn(lanes: np.ndarray, lane: int) -> np.ndarray:
+    return _POISSON.take(((lanes >> np.uint64(16 * lane)) & np.uint64(0xFFFF)).astype(np.int64))
 
 
 @lru_cache(maxsize=None)
@@ -197,6 +223,68 @@ def _walk(bins: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: int) -
     return at
 
 
+def _steps(feature: np.ndarray, cut: np.ndarray, d: int) -> list[np.ndarray]:
+    """Per word a number for each node, counted from 1: a row goes right where the sum with its
+    word carries. From a leaf rows go on to the left."""
+    out = []
+    for first in range(0, d, WORD_COLUMNS):
+        mine = (feature >= first) & (feature < first + WORD_COLUMNS)
+        place = np.where(mine, BITS * (feature.astype(np.int64) - first) + 1, 0)
+        out.append(np.append(0, np.where(mine, (BINS - 1 - cut.astype(np.int64)) << place, 0)))
+    return out
+
+
+def _descend(words: list[np.ndarray], steps: list[np.ndarray], levels: int) -> np.ndarray:
+    """Places within their level of the rows of a chunk after `levels` steps."""
+    at = np.ones(len(words[0]), np.int64)
+    right, more = np.empty_like(at), np.empty_like(at)
+    for _ in range(levels):
+        for k, (word, step) in enumerate(zip(words, steps)):
+            carried = more if k else right
+            step.take(at, out=carried, mode="clip")
+            np.add(word, carried, out=carried)
+            np.bitwise_and(carried, _CARRIES, out=carried)
+            if k:
+                np.bitwise_or(right, more, out=right)
+        np.minimum(right, 1, out=right)
+        np.add(at, at, out=at)
+        np.add(at, right, out=at)
+    at -= 2**levels
+    return at
+
+
+def _counted(
+    words: list[np.ndarray], drawn: np.ndarray, steps: list[np.ndarray], looked: np.ndarray, open_nodes: np.ndarray, level: int
+) -> np.ndarray:
+    """Draws of a tree by (slot of a feature looked at, open node of the level, bin, class)."""
+    rows = np.flatnonzero(drawn)
+    cells, weight, end = np.empty((looked.shape[1], len(rows)), np.int64), np.empty(len(rows)), 0
+    word_of, place = looked // WORD_COLUMNS, BITS * (looked % WORD_COLUMNS)
+    places = [[(np.ascontiguousarray(place[:, s]), np.where(word_of[:, s] == k, 2 * BINS - 2, 0)) for k in range(len(words))] for s in range(looked.shape[1])]
+    for low in range(0, len(rows), CHUNK_ROWS):
+        part = rows[low : low + CHUNK_ROWS]
+        held = [w.take(part) for w in words]
+        at = _descend(held, steps, level)
+        keep = open_nodes.take(at)
+        if not keep.all():
+            at, part, held = at[keep], part[keep], [w[keep] for w in held]
+        here = slice(end, end + len(part))
+        end += len(part)
+        first = at * (2 * BINS)
+        first += held[0] & 1
+        value = np.empty(len(part), np.int64)
+        for s, shifts in enumerate(places):
+            out = cells[s, here]
+            out[:] = first
+            for word, (shift, bits) in zip(held, shifts):
+                shift.take(at, out=value, mode="clip")
+                np.right_shift(word, value, out=value)
+                value &= bits[0] if len(held) == 1 else bits.take(at)
+                out += value
+        weight[here] = drawn.take(part)
+    return np.concatenate([np.bincount(c[:end], weight[:end], 2 * BINS * len(open_nodes)) for c in cells])
+
+
 def _packed(counts: np.ndarray) -> tuple[str, bytes]:
     """Counts in the smallest whole-number type that holds them; few that are not zero with
     their places."""
@@ -268,17 +356,12 @@ def grow(layout: Layout, seed: int, trees: int, depth: int, weights: np.ndarray
                 block, ready = _Block(row, d), []
                 for m in range(models):
                     rows = block.trains(m)
-                    bins = block.bins(fills[m], edges[m], rows)
-                    ids, label = block.ids[rows], block.label[rows].astype(np.int64)
+                    words, ids, four = block.words(fills[m], edges[m], rows), block.ids[rows], -1
                     for t in np.flatnonzero(nodes[m].any(axis=1)).tolist():
-                        drawn = _draws(ids, seed, m, t)
-                        at = _walk(bins, np.append(feature[m, t], np.full(width, -1)), cut[m, t], level) - base
-                        use = np.flatnonzero((drawn > 0) & (at >= 0))
-                        use = use[nodes[m, t][at[use]]]
-                        at, drawn = at[use], drawn[use]
-                        looked = _looked_at(seed, m, t, np.arange(base, base + width), d, some)[at]
-                        cell = ((at[:, None] * some + np.arange(some)) * BINS + bins[use[:, None], looked]) * 2 + label[use, None]
-                        counts = np.bincount(cell.ravel(), np.repeat(drawn, some), width * some * BINS * 2)
+                        if t // 4 != four:
+                            four, lanes = t // 4, _lanes(ids, seed, m, t // 4)
+                        looked = _looked_at(seed, m, t, np.arange(base, base + width), d, some)
+                        counts = _counted(words, _drawn(lanes, t % 4), _steps(feature[m, t], cut[m, t], d), looked, nodes[m, t], level)
                         ready.append((m, t, *_packed(counts)))
                         if len(ready) == TREES_PER_BATCH:
                             yield counted_trees(ready)
@@ -295,7 +378,7 @@ def grow(layout: Layout, seed: int, trees: int, depth: int, weights: np.ndarray
 
             def best() -> pa.RecordBatch:
                 looked = _looked_at(seed, *at, np.arange(base, base + width), d, some)
-                found = _splits(total.reshape(width, some, BINS, 2), looked, grown_weights[at[0]])
+                found = _splits(total.reshape(some, width, BINS, 2).swapaxes(0, 1), looked, grown_weights[at[0]])
                 values = [pa.array([x.astype(k).tobytes()], pa.binary()) for x, k in zip(found, ("i2", "u1", "i8", "i8"))]
                 return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), *values], names=["model", "tree", "feature", "cut", "left", "whole"])
 
@@ -334,7 +417,10 @@ def held_out(layout: Layout, grown: Trees) -> DataFrame:
     shares = grown.shares()
     fills, edges = layout.fills, layout.edges
     depth = int(math.log2(grown.feature.shape[2] + 1)) - 1
-    known = layout.blocks.sparkSession.sparkContext.broadcast((grown.feature, grown.cut, shares))
+    inner = 2**depth - 1
+    for node in range(inner):  # rows of a leaf go on to the left below it
+        shares[:, :, 2 * node + 1] = np.where(grown.feature[:, :, node] < 0, shares[:, :, node], shares[:, :, 2 * node + 1])
+    known = layout.blocks.sparkSession.sparkContext.broadcast((grown.feature[:, :, :inner], grown.cut[:, :, :inner], shares[:, :, inner:]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         feature, cut, share = known.value
@@ -342,10 +428,13 @@ def held_out(layout: Layout, grown: Trees) -> DataFrame:
             block = _Block(row, d)
             for m in range(models):
                 rows = np.flatnonzero((block.only < 0) & (block.fold == m))
-                bins = block.bins(fills[m], edges[m], rows)
-                total = np.zeros(len(rows))
-                for t in range(feature.shape[1]):
-                    total += share[m, t][_walk(bins, feature[m, t], cut[m, t], depth)]
+                words, total = block.words(fills[m], edges[m], rows), np.zeros(len(rows))
+                steps = [_steps(feature[m, t], cut[m, t], d) for t in range(feature.shape[1])]
+                for low in range(0, len(rows), CHUNK_ROWS):
+                    here = slice(low, low + CHUNK_ROWS)
+                    held = [w[here] for w in words]
+                    for t in range(feature.shape[1]):
+                        total[here] += share[m, t].take(_descend(held, steps[t], depth))
                 p1 = total / feature.shape[1]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(block.ids[rows]), pa.array(block.label[rows].astype(np.int32)), pa.array(1 - p1), pa.array(p1)], names=["row_id", "label", "p0", "p1"]
