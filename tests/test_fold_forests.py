@@ -145,3 +145,25 @@ def test_blocks_grow_with_the_table(spark, monkeypatch):
     many = materialize(folds_of(learnable(spark, 8000)))
     layout = ff.lay_out(many, ["x_a", "x_b", "x_c", "c_k"], np.zeros((5, 4)), 3, 10)
     assert layout.blocks.count() == 80  # not 800: every block sends its counts of all trees
+
+
+def test_synthetic_rows_are_made_once(spark, monkeypatch):
+    """The join behind them is not run again for each reader of the laid-out rows."""
+    df = learnable(spark, 400)
+    made, passed = balance.smote_by_fold, spark.sparkContext.accumulator(0)
+
+    def counted(*args):
+        out = made(*args)
+
+        def through(batches):
+            for batch in batches:
+                passed.add(batch.num_rows)
+                yield batch
+
+        return out.mapInArrow(through, out.schema)
+
+    monkeypatch.setattr(labels, "smote_by_fold", counted)
+    assert labels.out_of_fold(df, 7, "fold_smote", trees=2, depth=2).count() == 400
+    folded = materialize(labels.stratified_folds(df, 7, folds=5))
+    expected = made(folded, materialize(impute.fit_fill_by_fold(folded, 5)), 7, 5).count()
+    assert expected > 0 and passed.value == expected
