@@ -158,6 +158,50 @@ def test_rows_without_an_id_do_not_all_fall_into_the_sample(spark, monkeypatch):
     assert {r.train_tokens for r in got} == {sum(counts.values())}
 
 
+def test_starting_weights_do_not_hang_on_the_sample(spark):
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet")
+    few, many = (cm.score_texts(docs, sample_bytes=n).toPandas().set_index("doc_id").sort_index() for n in (20_000, cm.SAMPLE_BYTES))
+    # both start from the regression on all training texts; fits on 20 kB and 2 MB lie far apart
+    assert abs(few.score.sum() / many.score.sum() - 1) < 5e-4
+    assert few.score.sum() > few.base_score.sum()
+
+
+def test_the_regression_finds_the_weights_behind_the_bits():
+    rng = np.random.default_rng(5)
+    weights = np.array([[0.3, 0.5, 0.2, 1.5], [0.9, 0.1, 0.0, 0.0]])
+    x = np.concatenate([rng.integers(-60, 60, (400_000, 3)), rng.integers(-1, 2, (400_000, 1)) * 16], axis=1).astype(np.int8)
+    gate = rng.integers(0, 2, len(x)).astype(np.int8)
+    bit = (rng.random(len(x)) < 1 / (1 + np.exp(-(weights[gate] * x).sum(axis=1) / cm.SCALE))).astype(np.int8)
+    total = np.zeros(24 * 2 * len(cm._WORD_STEPS), np.int64)
+    for part in np.array_split(np.arange(len(x)), 3):
+        cm._tally(total, x[part], bit[part], gate[part])
+    assert total.sum() == len(x)
+    found = cm.solve(total, cm._WORD_STEPS, cm.word_start())
+    assert np.abs(found[:2] - weights).max() < 0.05 and (found[2:] == cm.word_start()[2:]).all()
+
+
+def test_words_of_arrays_are_words_of_texts():
+    import pyarrow as pa
+
+    texts = [b" A  b ", b"", b"\x0b\x0cx\x1cy\xc2\xa0z\r\n", b"  ", None, b"\xff\xfe A", "\u00c9 \u2003 e\x00F".encode(), b"a a b"]
+    for some in (texts, texts[:1], texts[1:2], texts[3:5], []):
+        names, at, sizes = cm.split_words(pa.array(some, pa.binary()))
+        names, cut = names.to_pylist(), np.cumsum(sizes)
+        got = [[names[k] for k in at[b - n : b]] for n, b in zip(sizes, cut)]
+        assert got == [cm.words_of(t or b"") for t in some] and len(set(names)) == len(names)
+
+
+def test_counts_beyond_four_bytes_are_kept():
+    import pyarrow as pa
+
+    chunk = np.zeros(1 << cm.CHUNK_BITS, np.uint32)
+    chunk[5] = 3_000_000_000
+    blob = cm._pressed(chunk)
+    parts = pa.RecordBatch.from_arrays([pa.array([0, 0], pa.int32()), pa.array([1, 1], pa.int64()), pa.array([blob, blob], pa.binary())], ["chunk", "lane", "blob"])
+    (total,) = cm._summed(iter([parts]))
+    assert cm._opened(total.column(1)[0].as_py())[5] == 6_000_000_000
+
+
 def test_scoring_a_very_long_word(spark):
     docs = spark.createDataFrame([(k, "some plain words here") for k in range(40)] + [(50, "abc" * 1_500_000)], "doc_id long, text string")
     got = {r.doc_id: r for r in cm.score_texts(docs).collect()}

@@ -9,25 +9,27 @@ logistic domain with weights gated by depth (bit) and repetition. The weights of
 the coding error online, after every STEP words. The sum of -log2 of what was predicted is the
 length of the text in bits.
 
-Everything is learned from all training texts: words are counted, then each task counts
-decisions in hashed cells, and the compressed parts of a table are summed by key. The counts
-of words grow with the corpus; tables of decisions have a fixed size. Weights start from
-values fitted on a keyed sample of distinct training texts, of bounded size, against tables
-less the sample's own counts, and start again in every block of BLOCK words: a task mixes many
-blocks in step, and no text, however long, is one sequential job. Long words are spelled in
-pieces of SEGMENT bytes, each of which sees the letters before it.
+Everything is learned from all training texts: words are counted, texts are coded once, then
+each task counts decisions in hashed cells, and the compressed parts of a table are summed by
+key. The counts of words grow with the corpus; tables of decisions have a fixed size. Starting
+weights are the logistic regression on the decisions of all training texts: equal texts lie in
+one of two halves, each is predicted from the counts of the other, tasks tally decisions by
+gate, bit and predictions in steps, and the regression is solved on the sum of the tallies. It
+is solved from, and where a gate has hardly any decisions stays near, a first guess from a
+few texts. Weights start again in every block of BLOCK words: a task mixes many blocks in step,
+and no text, however long, is one sequential job. Long words are spelled in pieces of SEGMENT
+bytes, each of which sees the letters before it.
 """
 
 from __future__ import annotations
 
 import heapq
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
@@ -38,12 +40,14 @@ from tidyorder.llm.suffix_dedup import _mixed
 
 CELL_BITS, CHUNK_BITS = 22, 16
 BLOCK, STEP, SEGMENT, TOKENS = 256, 8, 1 << 16, 1 << 15
-#: Bytes of text (and number of rare words) behind the starting weights; words with a code;
-#: distinct words, and bytes of text behind them, that a task holds before it hands their
-#: counts on; bytes of text at a time; longest words behind the starting weights of letters.
-SAMPLE_BYTES, SAMPLE_WORDS, HEAD_WORDS, FLUSH_WORDS, FLUSH_BYTES, SLICE, SPELLED = 2 << 20, 1 << 15, 1 << 17, 400_000, 128 << 20, 4 << 20, 64
+#: Bytes of text behind the first guess of the weights; words with a code; distinct words, and
+#: bytes of them, whose spelling a task holds; bytes of text, and of word numbers (as they are
+#: counted, and mixed) at a time.
+SAMPLE_BYTES, HEAD_WORDS, FLUSH_WORDS, FLUSH_BYTES, SLICE, NUMBERS, MIXED = 2 << 20, 1 << 17, 400_000, 128 << 20, 4 << 20, 1 << 20, 1 << 19
 RATE, SCALE, PRIOR = 0.02, 16.0, 0.2
 FIT_RATES = (0.2, 0.1, 0.05, 0.02)
+#: Decisions that the first guess of a gate counts for; most that a weight moves in a round.
+PULL, MOVE, ROUNDS = 64.0, 0.5, 50
 END, ESCAPE = b"", b"\n"  # no word of a text
 
 
@@ -51,6 +55,21 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of the texts, the place among them of every word, and words of each text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, b"").view(pa.string())))
+    coded = lists.flatten().dictionary_encode()
+    names, at = coded.dictionary.view(pa.binary()), coded.indices.to_numpy()
+    sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    empty = np.flatnonzero(pc.binary_length(names).to_numpy() == 0)  # from white space at an end
+    if len(empty):
+        kept = at != empty[0]
+        sizes = np.add.reduceat(kept.astype(np.int64), np.cumsum(sizes) - sizes)
+        at = at[kept] - (at[kept] > empty[0])
+        names = names.filter(pa.array(np.arange(len(names)) != empty[0]))
+    return names, at, sizes
+
+
 def _stretched(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(SCALE * np.log((ones + PRIOR) / (zeros + PRIOR))), -127, 127).astype(np.int8)
 
@@ -61,27 +80,28 @@ class Code:
     def __init__(self, counts: dict[bytes, int]):
         names = sorted(counts, key=lambda w: (counts[w], w))
         self.number = {w: k for k, w in enumerate(names)}
-        parent, bit = {}, {}
+        self.leaves = node = len(names)
+        parent, bit = np.full(2 * node, -1, np.int32), np.zeros(2 * node, np.int32)
         heap = [(counts[w], k) for k, w in enumerate(names)]
         heapq.heapify(heap)
-        self.leaves = node = len(names)
         while len(heap) > 1:
             (a, left), (b, right) = heapq.heappop(heap), heapq.heappop(heap)
-            parent[left], parent[right], bit[left], bit[right] = node, node, 0, 1
+            parent[left] = parent[right] = node
+            bit[right] = 1
             heapq.heappush(heap, (a + b, node))
             node += 1
-        nodes, bits, sizes = [], [], []
-        for k in range(len(names)):
-            path = []
-            while k in parent:
-                path.append((parent[k] - len(names), bit[k]))
-                k = parent[k]
-            nodes += [n for n, _ in reversed(path)]
-            bits += [b for _, b in reversed(path)]
-            sizes.append(len(path))
-        self.steps = np.array(nodes, np.int32) * 2 + np.array(bits, np.int32)  # node and bit
-        self.sizes = np.array(sizes, np.int32)
+        # all words go up their paths together
+        up, levels, sizes = np.arange(self.leaves), [], np.zeros(self.leaves, np.int32)
+        words = np.arange(self.leaves)
+        while len(words := words[parent[up[words]] >= 0]):
+            levels.append((words, (parent[up[words]] - self.leaves) * 2 + bit[up[words]]))
+            sizes[words] += 1
+            up[words] = parent[up[words]]
+        self.sizes = sizes
         self.starts = (np.cumsum(sizes) - sizes).astype(np.int32)
+        self.steps = np.zeros(int(sizes.sum()), np.int32)  # node and bit
+        for above, (words, step) in enumerate(levels):
+            self.steps[self.starts[words] + sizes[words] - 1 - above] = step
         # the whole code of a word as the leading bits of an integer
         lead = np.uint64(1) << (63 - (np.arange(len(self.steps)) - np.repeat(self.starts, sizes))).astype(np.uint64)
         self.codes = np.zeros(len(names), np.uint64)
@@ -108,12 +128,16 @@ class Code:
 
 def _after(words: np.ndarray, kind: int, sizes: np.ndarray, node: np.ndarray) -> np.ndarray:
     """Cells of hashed nodes after `words` (-1: none), which are one of two kinds of context."""
-    context = _mixed(((words + 1).astype(np.uint64) << np.uint64(2)) | np.uint64(kind))
-    return ((np.repeat(context, sizes) ^ node) * np.uint64(0xA0761D6478BD642F)) >> np.uint64(64 - CELL_BITS)
+    context = (_mixed(((words + 1).astype(np.uint64) << np.uint64(2)) | np.uint64(kind)) >> np.uint64(32)).astype(np.uint32)
+    cell = np.repeat(context, sizes)
+    cell ^= node
+    cell *= np.uint32(0x9E3779B1)
+    cell >>= np.uint32(32 - CELL_BITS)
+    return cell
 
 
 def _hashed(node: np.ndarray) -> np.ndarray:
-    return (node + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    return (node + 1).astype(np.uint32) * np.uint32(0x85EBCA6B)
 
 
 class _Decisions:
@@ -239,25 +263,42 @@ def word_start() -> np.ndarray:
     return np.tile(np.array([0.3, 0.4, 0.3, 0.0], np.float32), (24, 1))
 
 
-def numbered(code: Code, texts: list[list[bytes]], with_rare: bool = True) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Word numbers of texts with their ends, where texts end, and the rarer words of each."""
+def numbered(code: Code, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers of texts with their ends, and where texts end."""
     flat = [w for t in texts for w in t]
-    sizes = np.array([len(t) for t in texts], np.int64)
+    stops = np.cumsum(np.array([len(t) for t in texts], np.int64))
     numbers = np.fromiter(map(code.number.get, flat, repeat(code.escape)), np.int64, len(flat))
-    stops = np.cumsum(sizes)
-    ends = stops + np.arange(1, len(sizes) + 1)
-    if not with_rare:
-        return np.insert(numbers, stops, code.number[END]), ends, []
-    place = np.flatnonzero(numbers == code.escape)
-    rare, cut = [flat[k] for k in place.tolist()], np.searchsorted(place, stops).tolist()
-    by_text = [rare[a:b] for a, b in zip([0, *cut], cut)]
-    return np.insert(numbers, stops, code.number[END]), ends, by_text
+    return np.insert(numbers, stops, code.number[END]), stops + np.arange(1, len(stops) + 1)
+
+
+def _coded(shared):
+    """Texts as the numbers of their words and an end, and the rarer words of each."""
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = shared.value
+        for batch in slices(batches, "b", SLICE):
+            names, at, sizes = split_words(batch.column(3))
+            numbers = np.fromiter(map(code.number.get, names.to_pylist(), repeat(code.escape)), np.int32, len(names))[at]
+            stops = np.cumsum(sizes)
+            words = np.insert(numbers, stops, code.number[END]).astype(np.int32)
+            ends = np.concatenate([[0], stops + np.arange(1, len(stops) + 1)])
+            place = np.flatnonzero(numbers == code.escape)
+            rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.searchsorted(place, stops)]), pa.int32()), names.take(pa.array(at[place])))
+            texts = pa.Array.from_buffers(pa.binary(), len(stops), [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(words)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], texts, rare], ["doc_id", "held_out", "half", "words", "rare"])
+
+    return stream
+
+
+def _numbers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers of coded texts, and where texts end."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64) // 4)
+    return np.frombuffer(b"".join(texts.to_pylist()), np.int32).astype(np.int64), ends
 
 
 # letters of rare words
 
 _BIT = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.int8)
-_TREE = np.array([[(1 << j) | (b >> (8 - j)) for j in range(8)] for b in range(256)], np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+_TREE = np.array([[(1 << j) | (b >> (8 - j)) for j in range(8)] for b in range(256)], np.uint32) * np.uint32(0x85EBCA6B)
 
 
 def _pieces(words: list[bytes]) -> Iterator[tuple[list[bytes], list[bytes], np.ndarray]]:
@@ -293,7 +334,7 @@ class _Letters:
         five = three | (b[at - 4] << np.uint64(24)) | (b[at - 5] << np.uint64(32)) | np.uint64(1 << 41)
         tree = _TREE[data[at]]
         self.bit = _BIT[data[at]]
-        self.cells = [((_mixed(c)[:, None] ^ tree) * np.uint64(0xA0761D6478BD642F)) >> np.uint64(64 - CELL_BITS) for c in (three, five)]
+        self.cells = [(((_mixed(c) >> np.uint64(32)).astype(np.uint32)[:, None] ^ tree) * np.uint32(0x9E3779B1)) >> np.uint32(32 - CELL_BITS) for c in (three, five)]
 
     def count(self, tables: np.ndarray, times: np.ndarray) -> None:
         """Adds the decisions of each piece, `times` often, to the hashed cells."""
@@ -324,22 +365,24 @@ def letter_start() -> np.ndarray:
     return np.tile(np.array([0.4, 0.4], np.float32), (8, 1))
 
 
-def fit_letters(words: list[bytes], tables: list[np.ndarray]) -> np.ndarray:
-    """Weights of the letters, all words of the sample being one block each."""
-    d = _Letters([b"\n" * 5] * len(words), [w + b"\n" for w in words])
-    gate = np.tile(np.arange(8, dtype=np.int8), len(d.word))
-    stops = np.concatenate([[0], np.flatnonzero(np.append(d.word[1:] != d.word[:-1], True)) + 1]) * 8 if len(words) else np.zeros(1, int)
-    lanes = np.arange(len(words)) // 64  # words that share their weights as they go
-    return _fit(d.inputs(tables).reshape(-1, 2), d.bit.ravel(), gate, stops, lanes, letter_start())
-
-
 # tables that tasks count in parts
 
 
 def _parts(tables: np.ndarray) -> Iterator[pa.RecordBatch]:
     chunks = tables.reshape(-1, 1 << CHUNK_BITS)
     for k in np.flatnonzero(chunks.any(axis=1)).tolist():
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(chunks[k].tobytes(), 1)], pa.binary())], ["chunk", "blob"])
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_pressed(chunks[k])], pa.binary())], ["chunk", "blob"])
+
+
+def _pressed(chunk: np.ndarray) -> bytes:
+    """Numbers of four bytes, or of eight where four do not do, after a byte that says which."""
+    size = 4 if chunk.max() < 1 << 32 else 8
+    return b"%d" % size + pa.Codec("zstd", 1).compress(chunk.astype(f"u{size}").tobytes(), asbytes=True)
+
+
+def _opened(blob: bytes) -> np.ndarray:
+    size = int(blob[:1])
+    return np.frombuffer(pa.Codec("zstd").decompress(blob[1:], size << CHUNK_BITS, asbytes=True), f"u{size}")
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,8 +390,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, total = None, None
 
     def done():
-        raw = np.minimum(total, np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()
-        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([zlib.compress(raw, 1)], pa.binary())], ["chunk", "blob"])
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([_pressed(total)], pa.binary())], ["chunk", "blob"])
 
     for batch in batches:
         for chunk, lane, blob in zip(*(c.to_pylist() for c in batch.columns)):
@@ -356,85 +398,172 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if key is not None:
                     yield done()
                 key, total = (chunk, lane), np.zeros(1 << CHUNK_BITS, np.uint64)
-            total += np.frombuffer(zlib.decompress(blob), np.uint32)
+            total += _opened(blob)
     if key is not None:
         yield done()
 
 
 def _predictions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams sums sorted by chunk and yields predictions of all counts, and of all counts
-    but the sample's own."""
+    """Streams sums sorted by chunk and yields predictions of all counts, and for each half of
+    the counts of the other."""
     key, total = None, None
 
     def done():
-        cells = [pa.array([key], pa.int32()), *(pa.array([_stretched(t[1::2], t[::2]).tobytes()], pa.binary()) for t in (total[0], np.maximum(total[0] - total[1], 0)))]
-        return pa.RecordBatch.from_arrays(cells, ["chunk", "blob", "fit"])
+        kinds = (total[0] + total[1], total[1], total[0])
+        return pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), *(pa.array([_stretched(t[1::2], t[::2]).tobytes()], pa.binary()) for t in kinds)], ["chunk", "blob", "fit0", "fit1"])
 
     for batch in batches:
-        for chunk, own, blob in zip(*(c.to_pylist() for c in batch.columns)):
+        for chunk, half, blob in zip(*(c.to_pylist() for c in batch.columns)):
             if key != chunk:
                 if key is not None:
                     yield done()
                 key, total = chunk, np.zeros((2, 1 << CHUNK_BITS))
-            total[int(own)] += np.frombuffer(zlib.decompress(blob), np.uint32)
+            total[half] += _opened(blob)
     if key is not None:
         yield done()
 
 
-def _tables(parts: DataFrame, own: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Sums the parts of all tasks in two steps; the tables have a fixed size. The second
-    tables are without `own`, counts of the sample that the parts contain."""
-    spark = parts.sparkSession
-    n = wide(spark)
+def _in_lanes(parts: DataFrame) -> DataFrame:
+    """Parts of each chunk summed to a few."""
     lanes = parts.select("chunk", F.pmod(F.xxhash64("blob"), F.lit(8)).alias("lane"), "blob")
-    some = lanes.repartition(n, "chunk", "lane").sortWithinPartitions("chunk", "lane").mapInArrow(_summed, "chunk int, blob binary")
-    mine = [(k, blob) for batch in _parts(own) for k, blob in zip(*(c.to_pylist() for c in batch.columns))]
-    both = some.select("chunk", F.lit(False).alias("own"), "blob").unionByName(spark.createDataFrame(mine, "chunk int, blob binary").select("chunk", F.lit(True).alias("own"), "blob"))
-    whole = both.repartition(n, "chunk").sortWithinPartitions("chunk")
-    tables = np.zeros((2, len(own) << (CELL_BITS + 1 - CHUNK_BITS), 1 << (CHUNK_BITS - 1)), np.int8)
-    for r in whole.mapInArrow(_predictions, "chunk int, blob binary, fit binary").collect():  # 8 MB a table at most
-        tables[0, r.chunk], tables[1, r.chunk] = np.frombuffer(r.blob, np.int8), np.frombuffer(r.fit, np.int8)
-    return tuple(list(t.reshape(len(own), -1)) for t in tables)
+    return lanes.repartition(wide(parts.sparkSession), "chunk", "lane").sortWithinPartitions("chunk", "lane").mapInArrow(_summed, "chunk int, blob binary")
+
+
+def _tables(parts: DataFrame) -> tuple[list[np.ndarray], list[list[np.ndarray]]]:
+    """Sums the parts of all tasks, two tables of each half, in two steps; the tables have a
+    fixed size. First the tables of all, then those to predict each half from the other."""
+    per = 2 << (CELL_BITS + 1 - CHUNK_BITS)
+    both = _in_lanes(parts).select((F.col("chunk") % per).alias("chunk"), F.floor(F.col("chunk") / per).cast("int").alias("half"), "blob")
+    whole = both.repartition(wide(parts.sparkSession), "chunk").sortWithinPartitions("chunk")
+    tables = np.zeros((3, per, 1 << (CHUNK_BITS - 1)), np.int8)
+    for r in whole.mapInArrow(_predictions, "chunk int, blob binary, fit0 binary, fit1 binary").collect():  # 8 MB a table at most
+        for k, blob in enumerate((r.blob, r.fit0, r.fit1)):
+            tables[k, r.chunk] = np.frombuffer(blob, np.int8)
+    every, *fits = (list(t.reshape(2, -1)) for t in tables)
+    return every, fits
+
+
+# the regression behind the starting weights
+
+#: Steps of predictions: of the four of words (the last has three values) and the two of letters.
+_WORD_STEPS = np.stack(np.meshgrid(*[np.arange(-7.5, 8)] * 3, [-1.0, 0.0, 1.0], indexing="ij"), axis=-1).reshape(-1, 4)
+_LETTER_STEPS = np.stack(np.meshgrid(*[np.arange(-126.5, 128, 4) / SCALE] * 2, indexing="ij"), axis=-1).reshape(-1, 2)
+
+
+def _tally(total: np.ndarray, x: np.ndarray, bit: np.ndarray, gate: np.ndarray) -> None:
+    """Adds decisions of words to (gate, step of each prediction, bit)."""
+    cell = gate.astype(np.int64)
+    for at in range(0, len(bit), 1 << CHUNK_BITS):
+        here = slice(at, at + (1 << CHUNK_BITS))
+        steps, to = x[here] >> 4, cell[here]
+        for k in range(3):
+            to *= 16
+            to += steps[:, k] + np.int8(8)
+        to *= 3
+        to += steps[:, 3] + np.int8(1)
+        to *= 2
+        to += bit[here]
+    total += np.bincount(cell, minlength=len(total))
+
+
+def _tally_letters(total: np.ndarray, x: np.ndarray, bit: np.ndarray) -> None:
+    """Adds decisions of letters, (byte, bit of the byte, prediction), as `_tally` does."""
+    steps = (x >> 2).astype(np.int32) + 32
+    cell = (np.arange(8) * 64 + steps[:, :, 0]) * 64 + steps[:, :, 1]
+    total += np.bincount((2 * cell + bit).ravel(), minlength=len(total))
+
+
+def solve(tally: np.ndarray, steps: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Weights (gate x predictions) of the logistic regression of the bits on the predictions.
+    tally: decisions by (gate, step of the predictions, bit); steps: the predictions of a step."""
+    out = start.astype(np.float64)
+    for g, (zeros, ones) in enumerate(tally.reshape(len(start), len(steps), 2).transpose(0, 2, 1).astype(np.float64)):
+        seen = np.flatnonzero(zeros + ones)
+        x, one, n = steps[seen], ones[seen], (zeros + ones)[seen]
+        for _ in range(ROUNDS if len(seen) else 0):
+            p = 1 / (1 + np.exp(-np.clip(x @ out[g], -30, 30)))
+            slope = x.T @ (one - n * p) + PULL * (start[g] - out[g])
+            bend = (x * (n * p * (1 - p))[:, None]).T @ x + PULL * np.eye(x.shape[1])
+            move = np.linalg.solve(bend, slope)
+            out[g] += move * min(1, MOVE / max(np.abs(move).max(), 1e-300))
+            if np.abs(move).max() < 1e-6:
+                break
+    return out.astype(np.float32)
+
+
+def _tallied(parts: DataFrame, cells: int) -> np.ndarray:
+    """The sum of the tallies of all tasks, of a fixed size."""
+    total = np.zeros(-(-cells >> CHUNK_BITS) << CHUNK_BITS, np.uint64)
+    for r in _in_lanes(parts).collect():
+        total[r.chunk << CHUNK_BITS :][: 1 << CHUNK_BITS] += _opened(bytes(r.blob))
+    return total[:cells]
+
+
+def _padded(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    yield from _parts(np.append(total, np.zeros(-len(total) % (1 << CHUNK_BITS), total.dtype)))
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
-    seen = 0
+    """Words of a slice of texts and how often they come, the ends of texts among them."""
+    for batch in slices(batches, "b"):
+        names, at, _ = split_words(batch.column(0))
+        counts = np.append(np.bincount(at, minlength=len(names)), batch.num_rows)
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([names, pa.array([END], pa.binary())]), pa.array(counts, pa.int64())], ["word", "n"])
 
-    def rows():
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
-    for batch in slices(batches, "b"):
-        for t in batch.column(0).to_pylist():
-            counts.update(words_of(t or b""))
-        counts[END] += batch.num_rows
-        seen += batch.nbytes
-        if len(counts) > FLUSH_WORDS or seen > FLUSH_BYTES:
-            yield rows()
-            counts, seen = Counter(), 0
-    yield rows()
+def _halves(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Rows of each half, which the column `half` tells."""
+    for half in (0, 1):
+        rows = batch.filter(pc.equal(batch.column("half"), half))
+        if rows.num_rows:
+            yield half, rows
 
 
 def _count_code(shared):
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = np.zeros((2, 2 << CELL_BITS), np.uint32)
-        for batch in slices(batches, "b", SLICE):
-            words, ends, _ = numbered(shared.value, [words_of(t or b"") for t in batch.column(0).to_pylist()], False)
-            _Decisions(shared.value, words, ends).count(tables)
+        tables = np.zeros((2, 2, 2 << CELL_BITS), np.uint32)
+        for batch in slices(batches, "words", NUMBERS):
+            for half, rows in _halves(batch):
+                _Decisions(shared.value, *_numbers(rows.column("words"))).count(tables[half])
         yield from _parts(tables)
 
     return stream
 
 
+def _tally_code(shared, fits):
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(24 * 2 * len(_WORD_STEPS), np.int64)
+        for batch in slices(batches, "words", MIXED):
+            for half, rows in _halves(batch):
+                _tally(total, *_Decisions(shared.value, *_numbers(rows.column("words"))).inputs(fits.value[half]))
+        yield from _padded(total)
+
+    return stream
+
+
 def _count_letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tables = np.zeros((2, 2 << CELL_BITS), np.uint32)
+    tables = np.zeros((2, 2, 2 << CELL_BITS), np.uint32)
     for batch in batches:
-        words, times = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-        for before, pieces, owner in _pieces(words):
-            _Letters(before, pieces).count(tables, times[owner])
+        for half, rows in _halves(batch):
+            words, times = rows.column("word").to_pylist(), rows.column("n").to_numpy()
+            for before, pieces, owner in _pieces(words):
+                _Letters(before, pieces).count(tables[half], times[owner])
     yield from _parts(tables)
 
 
+def _tally_spelling(fits):
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(8 * 2 * len(_LETTER_STEPS), np.int64)
+        for batch in batches:
+            for half, rows in _halves(batch):
+                for before, pieces, _ in _pieces(rows.column("word").to_pylist()):
+                    d = _Letters(before, pieces)
+                    _tally_letters(total, d.inputs(fits.value[half]), d.bit)
+        yield from _padded(total)
+
+    return stream
+
+
 def _frequent(counts: DataFrame, most: int) -> tuple[DataFrame, int]:
     """Words with at least the smallest count that `most` words at most have, and that count,
     found from a histogram of a few thousand bins."""
@@ -457,44 +586,47 @@ def score_texts(docs: DataFrame, folds: int = 7, held: int = 2, sample_bytes: in
     from each time and scored equally; a word of any length is spelled in pieces; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    half = F.pmod(F.xxhash64("b"), F.lit(2)).cast("int").alias("half")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("b"), (fold(id_col, folds) == held).alias("held_out"))
     training = rows.filter(~F.col("held_out")).select("doc_id", "b")
 
     counts = stash(training.select("b").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("distinct"), F.sum(F.col("n") * (F.octet_length("word") + 1)).alias("bytes")).first()
     frequent, lowest = _frequent(counts, head_words)
-    head = {bytes(r.word): r.n for r in frequent.collect()}  # at most head_words
+    found = frequent.toArrow()  # at most head_words
+    head = dict(zip(found["word"].to_pylist(), found["n"].to_pylist()))
     rest = max(1, totals.tokens - sum(head.values()))
     code = Code({END: 1, **head, ESCAPE: rest})
     shared = spark.sparkContext.broadcast(code)
 
-    # Distinct pairs of id and text, each with the same chance, so rows repeated or without an
-    # id weigh no more than others; no text holds more than an eighth of the sample, so that it
-    # is above four times its mean size with a chance below e^-20.
+    out = StructType([rows.schema["doc_id"], StructField("held_out", BooleanType()), *StructType.fromDDL("half int, words binary, rare array<binary>").fields])
+    coded = stash(rows.select("doc_id", "held_out", half, "b").mapInArrow(_coded(shared), out), "lm-coded")
+    learned = coded.filter(~F.col("held_out")).select("half", "words")
+    tables, fits = _tables(learned.mapInArrow(_count_code(shared), "chunk int, blob binary"))
+    tables, *fits = ([code.node_table(), *t] for t in (tables, *fits))
+
+    # The first guess: distinct pairs of id and text of one half, each with the same chance, so
+    # rows repeated or without an id weigh no more than others; no text holds more than an eighth
+    # of them, so that all are above four times their mean size with a chance below e^-20.
     cut = int((1 << 40) * min(0.05, sample_bytes / max(totals.bytes or 0, 1)))
     draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "b"), F.lit(1 << 40))
-    short = training.filter(F.octet_length("b").between(1, sample_bytes // 8)).select("b", draw.alias("draw")).filter(F.col("draw") < cut)
+    short = training.filter(F.octet_length("b").between(1, sample_bytes // 8) & (half == 0)).select("b", draw.alias("draw")).filter(F.col("draw") < cut)
     sample = [bytes(r.b) for r in short.distinct().orderBy("draw", "b").select("b").collect()]
-    words, ends, _ = numbered(code, [words_of(t) for t in sample])
-    d = _Decisions(code, words, ends)
-    own = np.zeros((2, 2 << CELL_BITS), np.uint32)
-    d.count(own)
-    tables, fitting = (
-        [code.node_table(), *t] for t in _tables(training.select("b").mapInArrow(_count_code(shared), "chunk int, blob binary"), own)
-    )
-    weights = _fit(*d.inputs(fitting), d.stops, d.block, word_start())
-
-    rare = counts.filter(F.floor(F.log2("n") * 64).cast("int") < lowest).select("word", "n")
-    n_rare = max(1, totals.distinct - len(head))
-    letter_cut = int((1 << 40) * min(0.05, SAMPLE_WORDS / n_rare))
-    letter_draw = F.pmod(F.xxhash64("word"), F.lit(1 << 40))
-    drawn = rare.filter((F.octet_length("word") <= SPELLED) & (letter_draw < letter_cut)).orderBy(letter_draw, "word").collect()  # about SAMPLE_WORDS
-    spelled = [bytes(r.word) for r in drawn]
-    own = np.zeros((2, 2 << CELL_BITS), np.uint32)
-    for before, pieces, owner in _pieces(spelled):
-        _Letters(before, pieces).count(own, np.array([r.n for r in drawn])[owner])
-    letters, fitting = _tables(rare.mapInArrow(_count_letters, "chunk int, blob binary"), own)
-    letter_weights = fit_letters(spelled, fitting)
+    d = _Decisions(code, *numbered(code, [words_of(t) for t in sample]))
+    weights = _fit(*d.inputs(fits[0]), d.stops, d.block, word_start())
+    del d, sample
+    lent = spark.sparkContext.broadcast(fits)
+    tally = _tallied(learned.mapInArrow(_tally_code(shared, lent), "chunk int, blob binary"), 24 * 2 * len(_WORD_STEPS))
+    weights = solve(tally, _WORD_STEPS, weights)
+    lent.unpersist()
+
+    rare = counts.filter(F.floor(F.log2("n") * 64).cast("int") < lowest).select("word", "n", F.pmod(F.xxhash64("word"), F.lit(2)).cast("int").alias("half"))
+    letters, fits = _tables(rare.mapInArrow(_count_letters, "chunk int, blob binary"))
+    lent = spark.sparkContext.broadcast(fits)
+    tally = _tallied(rare.mapInArrow(_tally_spelling(lent), "chunk int, blob binary"), 8 * 2 * len(_LETTER_STEPS))
+    letter_weights = solve(tally, _LETTER_STEPS, letter_start())
+    lent.unpersist()
+    del fits
     logs = np.array([np.log10(head.get(w, 0) + 1) for w in code.number])
     model = spark.sparkContext.broadcast((tables, weights, letters, letter_weights, logs))
 
@@ -502,29 +634,32 @@ def score_texts(docs: DataFrame, folds: int = 7, held: int = 2, sample_bytes: in
         code, (tables, weights, letters, letter_weights, logs) = shared.value, model.value
         end_known, spell = logs[code.number[END]] > 0, {}
         spelt = 0
-        for batch in slices(batches, "b", SLICE):
-            texts = [words_of(t or b"") for t in batch.column(2).to_pylist()]
-            words, ends, rare = numbered(code, texts)
+        for batch in slices(batches, "words", MIXED):
+            words, ends = _numbers(batch.column(2))
             d = _Decisions(code, words, ends)
             cost, _ = _run(*d.inputs(tables), d.stops, d.block, weights, RATE)
-            bits = np.bincount(d.owner, weights=cost, minlength=len(texts))
+            bits = np.bincount(d.owner, weights=cost, minlength=len(ends))
             if len(spell) > FLUSH_WORDS or spelt > FLUSH_BYTES:
                 spell, spelt = {}, 0
-            kinds = [w for w in {w for r in rare for w in r} if w not in spell]
+            rare = batch.column(3)
+            seen = rare.flatten().dictionary_encode()
+            names = seen.dictionary.to_pylist()
+            kinds = [w for w in names if w not in spell]
             spelt += sum(map(len, kinds))
             spell.update(zip(kinds, letter_bits(kinds, letters, letter_weights).tolist()))
-            bits += np.array([sum([spell[w] for w in r]) for r in rare])
-            base = np.add.reduceat(np.where(words == code.escape, 0.0, logs[words]), np.concatenate([[0], ends])[:-1])
-            sizes = np.add.reduceat(np.where(words == code.escape, 0, code.lengths[words]), np.concatenate([[0], ends])[:-1]) + np.array([sum(map(len, r)) + len(r) for r in rare])
-            known = [len(t) + int(end_known) - len(r) for t, r in zip(texts, rare)]
-            cells = [
-                pa.array([len(t) + 1 for t in texts], pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(bits),
-                pa.array(sizes), pa.array(rare, pa.list_(pa.binary())),
-            ]
+            at, many = seen.indices.to_numpy(), np.diff(rare.offsets.to_numpy()).astype(np.int64)
+            owner = np.repeat(np.arange(len(ends)), many)
+            bits += np.bincount(owner, weights=np.array([spell[w] for w in names], float)[at], minlength=len(ends))
+            begins = np.concatenate([[0], ends])[:-1]
+            base = np.add.reduceat(np.where(words == code.escape, 0.0, logs[words]), begins)
+            sizes = np.add.reduceat(np.where(words == code.escape, 0, code.lengths[words]), begins)
+            sizes = sizes + np.bincount(owner, weights=np.array([len(w) + 1 for w in names], float)[at], minlength=len(ends)).astype(np.int64)
+            n = ends - begins
+            cells = [pa.array(n), pa.array(n - 1 + int(end_known) - many), pa.array(base), pa.array(bits), pa.array(sizes), rare]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cells], ["doc_id", "held_out", "n_tokens", "known", "base", "bits", "n_bytes", "rare"])
 
     out = StructType([rows.schema["doc_id"], StructField("held_out", BooleanType()), *StructType.fromDDL("n_tokens long, known long, base double, bits double, n_bytes long, rare array<binary>").fields])
-    scored = stash(rows.select("doc_id", "held_out", "b").mapInArrow(stream, out).withColumn("rid", F.monotonically_increasing_id()), "lm-scores")
+    scored = stash(coded.select("doc_id", "held_out", "words", "rare").mapInArrow(stream, out).withColumn("rid", F.monotonically_increasing_id()), "lm-scores")
     more = scored.select("rid", F.explode("rare").alias("word")).join(counts, "word").groupBy("rid").agg(F.sum(F.log10(F.col("n") + 1)).alias("more"), F.count("*").alias("also"))
     total, zero = int(totals.tokens + totals.distinct + 1), F.lit(0)
     return scored.drop("rare").join(more, "rid", "left").select(
