@@ -368,10 +368,10 @@ def letter_start() -> np.ndarray:
 # tables that tasks count in parts
 
 
-def _parts(tables: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _parts(tables: np.ndarray, half: int = 0) -> Iterator[pa.RecordBatch]:
     chunks = tables.reshape(-1, 1 << CHUNK_BITS)
     for k in np.flatnonzero(chunks.any(axis=1)).tolist():
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_pressed(chunks[k])], pa.binary())], ["chunk", "blob"])
+        yield pa.RecordBatch.from_arrays([pa.array([k + half * len(chunks)], pa.int32()), pa.array([_pressed(chunks[k])], pa.binary())], ["chunk", "blob"])
 
 
 def _pressed(chunk: np.ndarray) -> bytes:
@@ -519,13 +519,12 @@ def _halves(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
             yield half, rows
 
 
-def _count_code(shared):
+def _count_code(shared, half: int):
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = np.zeros((2, 2, 2 << CELL_BITS), np.uint32)
+        tables = np.zeros((2, 2 << CELL_BITS), np.uint32)
         for batch in slices(batches, "words", NUMBERS):
-            for half, rows in _halves(batch):
-                _Decisions(shared.value, *_numbers(rows.column("words"))).count(tables[half])
-        yield from _parts(tables)
+            _Decisions(shared.value, *_numbers(batch.column("words"))).count(tables)
+        yield from _parts(tables, half)
 
     return stream
 
@@ -541,14 +540,22 @@ def _tally_code(shared, fits):
     return stream
 
 
-def _count_letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tables = np.zeros((2, 2, 2 << CELL_BITS), np.uint32)
-    for batch in batches:
-        for half, rows in _halves(batch):
-            words, times = rows.column("word").to_pylist(), rows.column("n").to_numpy()
+def _count_letters(half: int):
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = np.zeros((2, 2 << CELL_BITS), np.uint32)
+        for batch in batches:
+            words, times = batch.column("word").to_pylist(), batch.column("n").to_numpy()
             for before, pieces, owner in _pieces(words):
-                _Letters(before, pieces).count(tables[half], times[owner])
-    yield from _parts(tables)
+                _Letters(before, pieces).count(tables, times[owner])
+        yield from _parts(tables, half)
+
+    return stream
+
+
+def _by_half(rows: DataFrame, count) -> DataFrame:
+    """The parts of both halves; a task counts one half, so that it holds the tables of one."""
+    first, second = (rows.filter(F.col("half") == half).mapInArrow(count(half), "chunk int, blob binary") for half in (0, 1))
+    return first.unionByName(second)
 
 
 def _tally_spelling(fits):
@@ -602,7 +609,7 @@ def score_texts(docs: DataFrame, folds: int = 7, held: int = 2, sample_bytes: in
     out = StructType([rows.schema["doc_id"], StructField("held_out", BooleanType()), *StructType.fromDDL("half int, words binary, rare array<binary>").fields])
     coded = stash(rows.select("doc_id", "held_out", half, "b").mapInArrow(_coded(shared), out), "lm-coded")
     learned = coded.filter(~F.col("held_out")).select("half", "words")
-    tables, fits = _tables(learned.mapInArrow(_count_code(shared), "chunk int, blob binary"))
+    tables, fits = _tables(_by_half(learned, lambda half: _count_code(shared, half)))
     tables, *fits = ([code.node_table(), *t] for t in (tables, *fits))
 
     # The first guess: distinct pairs of id and text of one half, each with the same chance, so
@@ -621,7 +628,7 @@ def score_texts(docs: DataFrame, folds: int = 7, held: int = 2, sample_bytes: in
     lent.unpersist()
 
     rare = counts.filter(F.floor(F.log2("n") * 64).cast("int") < lowest).select("word", "n", F.pmod(F.xxhash64("word"), F.lit(2)).cast("int").alias("half"))
-    letters, fits = _tables(rare.mapInArrow(_count_letters, "chunk int, blob binary"))
+    letters, fits = _tables(_by_half(rare, _count_letters))
     lent = spark.sparkContext.broadcast(fits)
     tally = _tallied(rare.mapInArrow(_tally_spelling(lent), "chunk int, blob binary"), 8 * 2 * len(_LETTER_STEPS))
     letter_weights = solve(tally, _LETTER_STEPS, letter_start())
