@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidyorder.functions import steps as st
 from tidyorder.operators import balance, faults, impute, labels, models, outliers, sampling
-from tidyorder.plans import grid, sequence
+from tidyorder.plans import diagnostics, grid, sequence
 from tidyorder.session import materialize
 from tidyorder.sources import loaders
 from tidyorder.sources.tables import order_features
@@ -172,6 +172,17 @@ def test_failed_fit_is_a_row(base):
     assert row["failed"] and row["balanced_accuracy"] is None
 
 
+def test_failed_fit_stops_the_threshold_sweep(spark):
+    rows = materialize(spark.range(120).select(
+        F.col("id").alias("row_id"), (F.col("id") % 4 == 0).cast("int").alias("label"), F.rand(3).alias("x_a"), (F.col("id") % 4 + F.rand(5)).alias("x_b")))
+    truth = rows.select("row_id", "label", (F.col("row_id") % 9 == 0).alias("f_label"))
+    sweep = lambda names: diagnostics.threshold_sweep(rows, truth, rows, 1, 7, (0.6,), names, models.Fit(trees=2, depth=2, rounds=2))
+    with pytest.raises(RuntimeError, match="no_such_model failed at threshold 0.6, lnr_first: unknown model"):
+        sweep(["no_such_model"])
+    (row,) = sweep(["logistic_regression"])[1]
+    assert row["threshold"] == 0.6 and 0 <= row["lnr_first"] <= 1 and 0 <= row["bal_first"] <= 1
+
+
 def test_random_gaps_in_many_columns_plan_quickly_and_exactly(spark):
     names = [f"x_{k}" for k in range(128)]
     wide = spark.range(40).select(F.col("id").alias("row_id"), (F.col("id") % 2).cast("int").alias("label"), *[F.rand(k).alias(n) for k, n in enumerate(names)])

@@ -126,7 +126,15 @@ def threshold_sweep(
     thresholds: Sequence[float] = (0.6, 0.7, 0.8, 0.9), classifiers: Sequence[str] = CLASSIFIERS, fit: Fit = Fit(),
 ) -> tuple[DataFrame, list[dict[str, object]]]:
     """Precision per threshold before and after balancing, and end-to-end scores. The
-    out-of-fold probabilities are computed once per input and shared by all thresholds."""
+    out-of-fold probabilities are computed once per input and shared by all thresholds. A fit
+    that fails stops the sweep: a row without its score would pass for a result."""
+
+    def score(cleaned: DataFrame, classifier: str, run: str) -> float | None:
+        result = train_and_evaluate(cleaned, test, classifier, seed, fit)
+        if result["failed"]:
+            raise RuntimeError(f"{classifier} failed at {run}: {result['error']}")
+        return result["balanced_accuracy"]
+
     balanced = materialize(smote(imputed, seed))
     first = out_of_fold(imputed, seed, trees=fit.trees, depth=fit.depth)
     after = out_of_fold(balanced, seed, trees=fit.trees, depth=fit.depth)
@@ -150,7 +158,7 @@ def threshold_sweep(
         for c in classifiers:
             scores.append({
                 "threshold": t, "classifier": c,
-                **{n: train_and_evaluate(d, test, c, seed, fit)["balanced_accuracy"] for n, d in sides.items()},
+                **{n: score(d, c, f"threshold {t}, {n}") for n, d in sides.items()},
             })
     return precision, scores
 
