@@ -47,6 +47,28 @@ def test_boosting_does_not_depend_on_the_layout(spark, monkeypatch):
     assert (one.feature == other.feature).all() and (one.cut == other.cut).all() and (one.value == other.value).all()
 
 
+def test_one_task_and_many_grow_the_same_trees(spark, monkeypatch):
+    """Also with leaves above the last level, columns of two words and copies of rows."""
+    df = learnable(spark, 700)
+    wide = df.union(df.where("row_id < 40")).select("row_id", "label", *[F.round(F.sin(F.col("row_id") * (k + 1)), 1).alias(f"x_{k}") for k in range(9)], "x_a", "x_c")
+    columns = wide.columns[2:]
+    one = boosting.boost(wide, columns, 740, 5, 7, 0.1, 7)
+    monkeypatch.setattr(boosting, "ONE_TASK_CELLS", 0)
+    other = boosting.boost(wide, columns, 740, 5, 7, 0.1, 7)
+    assert (one.feature == other.feature).all() and (one.cut == other.cut).all() and (one.value == other.value).all()
+    assert (one.feature[:, :63] < 0).any() and (one.feature >= 8).any()
+
+
+def test_more_rounds_of_a_small_table_take_no_more_jobs(spark):
+    df, jobs = learnable(spark, 600), []
+    for rounds in (1, 6):
+        spark.sparkContext.setJobGroup(f"rounds {rounds}", "boosting")
+        boosting.boost(df, COLUMNS, 600, rounds, 5, 0.1, 7)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"rounds {rounds}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1] > 0
+
+
 def test_levels_read_packed_rows_and_not_the_table(spark):
     """A fit reads its table a fixed number of times, whatever the rounds."""
     df, passed = learnable(spark, 600), spark.sparkContext.accumulator(0)
