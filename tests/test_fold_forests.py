@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidyorder.operators import balance, impute, labels
 from tidyorder.operators import fold_forests as ff
 from tidyorder.operators.models import assemble, fixed_layout, forest, probabilities
-from tidyorder.session import materialize
+from tidyorder.session import materialize, release
 
 
 def learnable(spark, n=3000, seed=5):
@@ -147,6 +147,39 @@ def test_blocks_grow_with_the_table(spark, monkeypatch):
     assert layout.blocks.count() == 80  # not 800: every block sends its counts of all trees
 
 
+def test_synthetic_rows_do_not_depend_on_how_folds_are_joined(spark, monkeypatch):
+    folded = materialize(folds_of(learnable(spark, 600)))
+    fills = materialize(impute.fit_fill_by_fold(folded, 5))
+    one = balance.smote_by_fold(folded, fills, 7, 5).collect()
+    monkeypatch.setattr(balance, "JOIN_ROWS", 1)  # a join for each fold
+    assert {r.only for r in one} == set(range(5))
+    assert sorted(one) == sorted(balance.smote_by_fold(folded, fills, 7, 5).collect())
+
+
+def test_forests_do_not_depend_on_the_passes(spark, monkeypatch):
+    many = materialize(folds_of(learnable(spark, 600)))
+    layout = ff.lay_out(many, ["x_a", "x_b", "x_c", "c_k"], np.zeros((5, 4)), 3)
+    one = ff.grow(layout, 3, 4, 3)
+    monkeypatch.setattr(ff, "COUNTS_AT_ONCE", 1)  # a pass for each model
+    other = ff.grow(layout, 3, 4, 3)
+    assert (one.feature == other.feature).all() and (one.cut == other.cut).all() and (one.counts == other.counts).all()
+
+
+def test_files_of_a_correction_go_when_they_have_been_read(spark):
+    """Of the checkpoints and shuffles of a correction only its result is left."""
+    from pathlib import Path
+
+    df = materialize(learnable(spark, 400))
+    folder = spark._jvm.java.net.URI(spark.sparkContext.getCheckpointDir()).getPath()
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, kept = set(Path(folder).iterdir()), spark.conf.get(setting)
+    probs = labels.out_of_fold(df, 7, "fold_smote", trees=2, depth=2)
+    large = [p for p in set(Path(folder).iterdir()) - before if sum(f.stat().st_size for f in p.rglob("part-*")) > 8000]
+    assert len(large) <= 1 and probs.count() == 400 and spark.conf.get(setting) == kept
+    release(probs)
+    assert df.count() == 400
+
+
 def test_synthetic_rows_are_made_once(spark, monkeypatch):
     """The join behind them is not run again for each reader of the laid-out rows."""
     df = learnable(spark, 400)
